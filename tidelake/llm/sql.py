@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import queries, urlfilter
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,6 +29,96 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, d.doc_id) AS componen
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """
 
+_TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP3 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_TOKEN}'), []) AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '{_TOKEN}') AS w FROM benchmark WHERE text IS NOT NULL
+), bw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)
+), h AS (
+  SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, s)
+), p AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+_NORMAL = "trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz000000000     '), ' +', ' ', 'g'))"
+
+OP2 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '{_WORD}')] AS lines FROM documents
+), win AS (
+  SELECT doc_id, i, w[i : i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1
+  ) GROUP BY doc_id
+), line AS (
+  SELECT doc_id, host, text, {_NORMAL} AS norm, len(regexp_extract_all(l, '{_WORD}')) AS n
+  FROM (SELECT doc_id, host, text, unnest(lines) AS l FROM d)
+), hosts AS (
+  SELECT host, count(DISTINCT coalesce(text, chr(0))) AS host_docs FROM d GROUP BY host
+), hot AS (
+  SELECT host, norm, count(DISTINCT text) AS n_docs, min(doc_id) AS first_doc FROM line GROUP BY host, norm
+), lost AS (
+  SELECT line.doc_id, sum(n) AS n_lost FROM line JOIN hot USING (host, norm) JOIN hosts USING (host)
+  WHERE n_docs > 5 AND 100 * n_docs > 10 * host_docs AND line.doc_id <> first_doc GROUP BY line.doc_id
+), s AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
+    coalesce(n_lost, 0)::BIGINT AS n_removed_words
+  FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN lost ON d.doc_id = lost.doc_id
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed_words) >= 30 * n_words AS kept
+FROM s
+"""
+
+
+def _weighed(text: str, seed: int) -> str:
+    sums = []
+    for n, salt in ((3, 11), (4, 5003)):
+        value = "c[i]"
+        for k in range(1, n):
+            value = f"({value} * 31 + c[i + {k}])"
+        sums.append(f"coalesce(list_sum([(SELECT w FROM model)[({value} * 7919 + {salt + seed}) % {urlfilter.BUCKETS} + 1] FOR i IN range(1, len(c) - {n - 2})]), 0)".replace("(SELECT w FROM model)", "w"))
+    return f"(SELECT {' + '.join(sums)} FROM (SELECT [unicode(x)::BIGINT FOR x IN regexp_split_to_array({text}, '') IF x <> ''] AS c))"
+
+
+def op5() -> str:
+    weights, bias = urlfilter.train()
+    rules = sorted((urlfilter.Rule.parse(x) for x in queries.URL_RULES), key=lambda r: (-len(r.name), r.name))
+    when = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{{}}'".replace("{}", "{}") for r in rules)
+    rule, verdict = when.format(*[r.name for r in rules]), when.format(*[r.verdict for r in rules])
+    zeros = "translate(path, '123456789', '000000000')"
+    return f"""
+WITH model AS (SELECT {list(weights)}::BIGINT[] AS w), u AS (
+  SELECT page_id, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), s AS (
+  SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path FROM u
+), v AS (
+  SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS fixed,
+    ({bias} + {_weighed("'^' || host || '$'", 0)} + {_weighed(zeros, 1777)})::BIGINT AS score FROM s, model
+)
+SELECT page_id, host, path, rule, score, coalesce(fixed, CASE WHEN score > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM v
+"""
+
 
 def oracles() -> dict[str, str]:
-    return {"op1_minhash": OP1}
+    return {"op1_minhash": OP1, "op2_line_frequency": OP2, "op3_winnow": OP3, "op5_url_filter": op5()}
