@@ -51,7 +51,8 @@ def labelled_urls() -> list[tuple[str, str, int]]:
     rows = []
     ends, prefixes = ("example.com", "example.net", "example.org", "test"), ("", "www.", "blog.", "m.")
     paths = ("/en/1", "/de/23/", "/fr/456.html", "/es/78", "/", "")
-    clean = [*_WELCOME, *(a + b for a in _SYLLABLES for b in _SYLLABLES)]
+    pairs = [(a, b, _SYLLABLES[(i * 5 + j * 3) % len(_SYLLABLES)]) for i, a in enumerate(_SYLLABLES) for j, b in enumerate(_SYLLABLES)]
+    clean = [*_WELCOME, *(a + b for a, b, _ in pairs), *(a + b + c for a, b, c in pairs)]
     for label, names in ((1, _UNWANTED), (0, clean)):
         for i, name in enumerate(names):
             for j in range(8 if label else 1):
