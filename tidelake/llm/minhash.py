@@ -134,7 +134,59 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     return materialize(both.mapInArrow(_verifier(words, percent), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, crowd: int = 32, star_rounds: int = 3) -> DataFrame:
+def _shingler(words: int):
+    def shingle(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                elements, by_doc = _shingle_sets(data, offsets, words)
+                ids = np.repeat(batch.column(0)[lo:hi].to_numpy(), np.diff(by_doc))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(elements.view(np.int64))], ["id", "shingle"])
+
+    return shingle
+
+
+def _across(docs: DataFrame, shared: DataFrame, groups: DataFrame, words: int, percent: int, rare: int) -> DataFrame | None:
+    """Pairs (a, b) of different components among which are all links that banding can find.
+
+    Only documents in buckets with several components take part; those connected by such buckets are
+    a crowd. Within a crowd a shingle is rare if at most ``rare`` percent of the documents (or 4)
+    have it. The overlap of two documents is at most the smaller of their frequent parts plus the
+    number k of rare shingles they share. Pairs with k > 0 come from a join on rare shingles, which
+    gives few pairs for each; pairs with k = 0 come from a join within buckets. Both keep
+    only pairs whose bound reaches the threshold, so a text that differs from a group of copies by
+    more than allowed is not compared with all of the group.
+    """
+    labels = groups.withColumnRenamed("node", "id")
+    member = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("id").alias("first")).where("low < high").select("key", "first")
+    member = materialize(member.join(mixed, "key"), "mixed-buckets")
+    crowd = components(member.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    ids = materialize(member.select("id", "c").distinct().join(crowd, "id"), "mixed-ids")
+    if (n := ids.count()) == 0:
+        return None
+    texts = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id").select("id", "text")
+    held = texts.mapInArrow(_shingler(words), "id long, shingle long").distinct().join(ids.select("id", "g"), "id")
+    held = materialize(held, "mixed-shingles")
+    docs_of = ids.groupBy("g").agg(F.count("*").alias("docs"))
+    seldom = held.groupBy("g", "shingle").agg(F.count("*").alias("df")).join(docs_of, "g").where(f"df <= greatest(4, {rare} * docs / 100)").select("g", "shingle", "df")
+    seldom = materialize(held.join(seldom, ["g", "shingle"]), "rare-shingles")
+    weak = seldom.groupBy("id").agg(F.count("*").alias("r"))
+    size = held.groupBy("id").agg(F.count("*").alias("n"))
+    size = ids.drop("g").join(size, "id").join(weak, "id", "left").select("id", "c", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("f"))
+    size = materialize(size, "mixed-sizes")
+    most = "least(least(fa, fb) + {k}, na, nb)"
+    enough = f"100 * {most} >= {percent} * (na + nb - {most})"
+    side = lambda df, x, more: df.select(*more, F.col("id").alias(x), *[F.col(c).alias(c + x) for c in df.columns if c not in (*more, "id")])
+    common = seldom.where("df > 1").join(size, "id").select("g", "shingle", "id", "c", "n", "f")
+    met = side(common, "a", ["g", "shingle"]).join(side(common, "b", ["g", "shingle"]), ["g", "shingle"]).where("a < b and ca <> cb and least(na, nb) * 100 >= greatest(na, nb) * " + str(percent))
+    met = met.groupBy("a", "b", "na", "nb", "fa", "fb").agg(F.count("*").alias("k"))
+    one = met.where(enough.format(k="k")).select("a", "b")
+    sized = member.select("key", "id").join(size.where(f"100 * f >= {percent} * n"), "id")
+    two = side(sized, "a", ["key"]).join(side(sized, "b", ["key"]), "key").where("a < b and ca <> cb and " + enough.format(k=0)).select("a", "b")
+    return materialize(one, "pairs-rare").union(materialize(two.distinct(), "pairs-frequent"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, rare: int = 2) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Documents are linked when their sets of ``words``-word shingles (A-Z lowered, split at ASCII
@@ -142,10 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band with probability 1 - (1 - s^rows)^bands: all but 5 in 10^8 at s = 0.8 with 32 bands of 4.
 
     Equal sets are collapsed before banding. Each band bucket first links its members with its
-    smallest member only; then only buckets that still hold several components are looked at, and
-    only pairs across components: all of them in buckets of up to ``crowd`` members, and against
-    about ``crowd`` / 2 random members for ``star_rounds`` rounds in larger ones before the rest is compared in full.
-    So a bucket of n copies costs n pairs, and no pair that could join two components is skipped.
+    smallest member only, so a bucket of n copies costs n pairs. Then ``_across`` looks at those
+    buckets that still hold several components, and gives every pair that could join two of them.
 
     Defined cases: a null or wordless text has an empty set and links with nothing; fewer than
     ``words`` words make one shingle. A null id gets a null component and is kept. Rows repeated
@@ -163,22 +213,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(buckets.join(centre, "key"), "shared-buckets")
     links = links.union(_linked(docs, shared.where("id <> a").select("a", F.col("id").alias("b")), words, percent))
     groups = components(links)
-    for turn in range(star_rounds + 1):
-        labels = groups.withColumnRenamed("node", "id")
-        member = shared.select("key", "id", "n").join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        member = materialize(member.join(mixed, "key", "left_semi"), "mixed-buckets")
-        if member.isEmpty():
-            break
-        crowded = not member.where(F.col("n") > crowd).isEmpty()
-        pivot = member.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "n")
-        if crowded and turn < star_rounds:
-            pivot = pivot.where((F.col("n") <= crowd) | (F.pmod(F.xxhash64("a", F.lit(turn)), F.col("n")) < crowd // 2))
-        pairs = pivot.drop("n").join(member.select("key", F.col("id").alias("b"), F.col("c").alias("cb")), "key").where("ca <> cb")
-        links = links.union(_linked(docs, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), words, percent))
+    pairs = _across(docs, shared, groups, words, percent, rare)
+    if pairs is not None:
+        links = links.union(_linked(docs, pairs, words, percent))
         groups = components(links)
-        if not crowded:
-            break
     out = signed.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
