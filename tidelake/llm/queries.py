@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from . import linefreq, sql, subword, urlfilter
+from . import editlines, linefreq, sql, subword, urlfilter
 from .minhash import near_duplicates
 from .packing import pack
 from .sharding import shard
@@ -59,6 +59,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editlines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_tokens(_table(spark, sf_dir, "documents"), tokenizer())
     files = index.groupBy("file").agg(F.sum("n_bytes").alias("n_bytes"))

@@ -57,6 +57,10 @@ FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 
 _NORMAL = "trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz000000000     '), ' +', ' ', 'g'))"
 
+#: Text with one byte for each character, as DuckDB's edit distance counts bytes: letters beyond ASCII as control characters.
+_LETTERS = "áàâäãåæçéèêëíìîïñóòôöõøúùûüýÿßÁÀÂÄÃÅÆÇÉÈÊËÍÌÎÏÑÓÒÔÖÕØÚÙÛÜÝœŒ¿¡"
+_BYTES = "translate({}, '" + _LETTERS[:56] + "', " + " || ".join(f"chr({i})" for i in [*range(1, 32), *range(65, 90)]) + ")"
+
 OP2 = f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS host, text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
@@ -89,6 +93,34 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM s
 """
 
+#: Pairs of lines are first narrowed to those of which one holds a third of the other, as two edits leave one of three parts.
+OP8 = f"""
+WITH t AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents
+), line AS (
+  SELECT doc_id, pos, norm FROM (SELECT doc_id, pos, {_NORMAL} AS norm FROM t) WHERE length(norm) >= 16
+), u AS (
+  SELECT norm, min((doc_id, pos)) AS first, length(norm) AS n FROM line GROUP BY norm
+), s AS (
+  SELECT *, n // 3 AS q, n % 3 AS r FROM u
+), x AS (
+  SELECT *, norm[1 : q] AS s1, norm[q + 1 : 2 * q + (r > 1)::INT] AS s2, norm[2 * q + (r > 1)::INT + 1 :] AS s3 FROM s
+), e AS (
+  SELECT a.norm AS a, b.norm AS b FROM x a JOIN u b ON b.n BETWEEN a.n AND a.n + 2 AND a.norm <> b.norm
+  WHERE (contains(b.norm, s1) OR contains(b.norm, s2) OR contains(b.norm, s3))
+    AND levenshtein({_BYTES.format("a.norm")}, {_BYTES.format("b.norm")}) <= 2
+), o AS (
+  SELECT a, min(first) AS other FROM (SELECT a, b FROM e UNION SELECT b, a FROM e) p JOIN u ON u.norm = p.b GROUP BY a
+), g AS (
+  SELECT line.doc_id, coalesce(other < first, false) AS near FROM line JOIN u USING (norm) LEFT JOIN o ON o.a = line.norm
+  WHERE coalesce(other < first, false) OR (line.doc_id, line.pos) <> first
+), c AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (near) AS n_near FROM g GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_near, 0)::BIGINT AS n_near_removed
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
 
 def _weighed(text: str, seed: int) -> str:
     sums = []
@@ -121,4 +153,4 @@ SELECT page_id, host, path, rule, score, coalesce(fixed, CASE WHEN score > 0 THE
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_minhash": OP1, "op2_line_frequency": OP2, "op3_winnow": OP3, "op5_url_filter": op5()}
+    return {"op1_minhash": OP1, "op2_line_frequency": OP2, "op3_winnow": OP3, "op5_url_filter": op5(), "op8_line_dedup": OP8}
