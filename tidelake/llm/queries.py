@@ -12,6 +12,7 @@ from . import editlines, linefreq, sql, subword, urlfilter
 from .minhash import near_duplicates
 from .packing import pack
 from .sharding import shard
+from .suffixdedup import remove_repeats
 from .tokenscan import token_counts, write_tokens
 from .winnow import contamination, digest
 
@@ -59,6 +60,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editlines.line_report(_table(spark, sf_dir, "documents"))
 
