@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -131,7 +133,9 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """The documents that ``judge`` keeps, all their columns, without the lines above the limits."""
     read = keyed(docs, id_col, text_col, host_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0).cast("long")).alias("mark"))
-    kept = judge(docs, id_col, text_col, host_col, min_docs, percent, **limits).where("kept").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
+    # a table in between, as a filter pushed below the statistics would repeat their expressions
+    verdicts = materialize(judge(docs, id_col, text_col, host_col, min_docs, percent, **limits), "verdicts")
+    kept = verdicts.where("kept").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
     packed = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
     lost = removed_lines(read, min_docs, percent).groupBy("doc_id", "mark").agg(F.collect_set("line_hash").alias("_lost"))
     out = _join_marked(packed, lost)
