@@ -150,8 +150,10 @@ def _across(docs: DataFrame, shared: DataFrame, groups: DataFrame, words: int, p
 
     Only documents in buckets with several components take part; those connected by such buckets are
     a crowd. Within a crowd a shingle is rare if at most ``rare`` percent of the documents (or 4)
-    have it. The overlap of two documents is at most the smaller of their frequent parts plus the
-    number k of rare shingles they share. Pairs with k > 0 come from a join on rare shingles, which
+    have it. The overlap of two documents is at most that of their frequent parts plus the number k
+    of rare shingles they share. Frequent parts overlap by at most the smaller, and at most by half
+    of what their sizes exceed the bits in which their parities in 128 classes differ, as each
+    differing bit takes a shingle that only one of them has. Pairs with k > 0 come from a join on rare shingles, which
     gives few pairs for each; pairs with k = 0 come from a join within buckets. Both keep
     only pairs whose bound reaches the threshold, so a text that differs from a group of copies by
     more than allowed is not compared with all of the group.
@@ -170,16 +172,18 @@ def _across(docs: DataFrame, shared: DataFrame, groups: DataFrame, words: int, p
     docs_of = ids.groupBy("g").agg(F.count("*").alias("docs"))
     seldom = held.groupBy("g", "shingle").agg(F.count("*").alias("df")).join(docs_of, "g").where(f"df <= greatest(4, {rare} * docs / 100)").select("g", "shingle", "df")
     seldom = materialize(held.join(seldom, ["g", "shingle"]), "rare-shingles")
-    weak = seldom.groupBy("id").agg(F.count("*").alias("r"))
-    size = held.groupBy("id").agg(F.count("*").alias("n"))
-    size = ids.drop("g").join(size, "id").join(weak, "id", "left").select("id", "c", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("f"))
+    one_bit = "shiftleft(1L, cast(shingle & 63 as int))"
+    sums = [F.count("*").alias("n"), *[F.expr(f"bit_xor(if((shingle & 64) = {half}, {one_bit}, 0L))").alias(p) for p, half in (("p", 0), ("q", 64))]]
+    weak = seldom.groupBy("id").agg(*sums).select("id", *[F.col(x).alias("r" + x) for x in "npq"])
+    size = ids.drop("g").join(held.groupBy("id").agg(*sums), "id").join(weak, "id", "left")
+    size = size.selectExpr("id", "c", "n", "n - coalesce(rn, 0) as f", "p ^ coalesce(rp, 0) as p", "q ^ coalesce(rq, 0) as q")
     size = materialize(size, "mixed-sizes")
-    most = "least(least(fa, fb) + {k}, na, nb)"
+    most = "least(least(fa, fb, (fa + fb - bit_count(pa ^ pb) - bit_count(qa ^ qb)) div 2) + {k}, na, nb)"
     enough = f"100 * {most} >= {percent} * (na + nb - {most})"
     side = lambda df, x, more: df.select(*more, F.col("id").alias(x), *[F.col(c).alias(c + x) for c in df.columns if c not in (*more, "id")])
-    common = seldom.where("df > 1").join(size, "id").select("g", "shingle", "id", "c", "n", "f")
+    common = seldom.where("df > 1").join(size, "id").select("g", "shingle", "id", "c", "n", "f", "p", "q")
     met = side(common, "a", ["g", "shingle"]).join(side(common, "b", ["g", "shingle"]), ["g", "shingle"]).where("a < b and ca <> cb and least(na, nb) * 100 >= greatest(na, nb) * " + str(percent))
-    met = met.groupBy("a", "b", "na", "nb", "fa", "fb").agg(F.count("*").alias("k"))
+    met = met.groupBy("a", "b", "na", "nb", "fa", "fb", "pa", "pb", "qa", "qb").agg(F.count("*").alias("k"))
     one = met.where(enough.format(k="k")).select("a", "b")
     sized = member.select("key", "id").join(size.where(f"100 * f >= {percent} * n"), "id")
     two = side(sized, "a", ["key"]).join(side(sized, "b", ["key"]), "key").where("a < b and ca <> cb and " + enough.format(k=0)).select("a", "b")
