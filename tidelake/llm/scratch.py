@@ -6,6 +6,7 @@ re-computation, and random decisions of the scheduler never change rows that wer
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,4 +37,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a materialized table that no later step reads, and lets Spark drop finished shuffles."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(df)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -12,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import mix, prefix_hash, range_hash, slices
-from .scratch import materialize
+from .scratch import discard, materialize, release
 
 _U = np.uint64
 _SEP = 0
 #: Bytes indexed at once, and pieces that one anchor may bring to one index.
 _INDEX_BYTES, _CROWD = 1 << 21, 20_000
+#: Documents that may be sent to every executor as a hash table of ids.
+BROADCAST_IDS = 500_000
 _PIECE_BITS = 24
 _CHUNK = 1 << 22
 
@@ -72,24 +73,6 @@ def _pieces(batch_column: pa.Array, length: int, gram: int) -> Iterator[tuple[in
             yield lo, data, row, begin - offsets[row], anchor, begin, size
 
 
-def _announcer(length: int, gram: int):
-    """Anchors of each slice with the smallest and largest id of the documents that have them."""
-
-    def announce(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, _, row, _, anchor, _, _ in _pieces(batch.column(1), length, gram):
-                if not len(anchor):
-                    continue
-                owner = ids[lo + row]
-                order = np.argsort(anchor, kind="stable")
-                anchor, owner = anchor[order], owner[order]
-                first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(np.minimum.reduceat(owner, first)), pa.array(np.maximum.reduceat(owner, first))], ["anchor", "low", "high"])
-
-    return announce
-
-
 def _lister(length: int, gram: int):
     """(anchor, id, mark) once for each document."""
 
@@ -124,7 +107,7 @@ def _extractor(length: int, gram: int):
                 content = range_hash(prefix_hash(data), begin, begin + size)
                 offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                 body = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[_expand(begin, size)].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[lo + row]), pa.array(marks[lo + row]), pa.array(start), pa.array(size), body], ["anchor", "content", "doc_id", "mark", "start", "size", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[lo + row]), pa.array(marks[lo + row]), pa.array(start << 8 | (size - length)), body], ["anchor", "content", "doc_id", "mark", "at", "piece"])
 
     return extract
 
@@ -269,19 +252,14 @@ def _remover(keep_text: bool):
     return remove
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 20, crowd: int = _CROWD, keep_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the bytes kept).
 
     Every byte goes that lies in a ``length``-byte string which also starts in a document of smaller
     id; strings are judged on the input.
 
-    Texts are cut into overlapping pieces by content (``anchors``), so equal strings lie in pieces of
+    Documents equal to one of smaller id go as a whole first. The others' texts are cut into
+    overlapping pieces by content (``anchors``), so equal strings lie in pieces of
     equal anchor. Pieces whose anchor only one document has are never moved. Equal pieces are
     collapsed to their smallest owner before anything is brought together, so a group of copies is
     one piece. Different pieces of an anchor are indexed together, many anchors in one
@@ -292,34 +270,45 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Defined cases: null and short texts lose nothing; rows repeated under one id don't match each
     other; rows with a null id neither lose bytes nor take any.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).withColumn("mark", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
-    docs = source.where(f"doc_id is not null and octet_length(text) >= {length}")
-    lean = docs.select("doc_id", "text", "mark")
-    shared = lean.select("doc_id", "text").mapInArrow(_announcer(length, gram), "anchor long, low long, high long")
-    shared = materialize(shared.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor"), "shared-anchors")
-    _release(docs)
-    wanted = lean.mapInArrow(_lister(length, gram), "anchor long, doc_id long, mark long").join(shared, "anchor", "left_semi")
-    wanted = materialize(wanted.groupBy("doc_id", "mark").agg(F.collect_list("anchor").alias("anchors")), "document-anchors")
-    _release(docs)
-    schema = "anchor long, content long, doc_id long, mark long, start long, size long, piece binary"
-    pieces = lean.join(wanted, ["doc_id", "mark"]).select("doc_id", "text", "mark", "anchors").mapInArrow(_extractor(length, gram), schema)
-    pieces = materialize(pieces, "pieces")
-    _release(docs)
-    owner = materialize(pieces.groupBy("anchor", "content").agg(F.min("doc_id").alias("owner")), "piece-owners")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    source = source.withColumn("mark", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
+    eligible = f"doc_id is not null and octet_length(text) >= {length}"
+    heads = materialize(source.where(eligible).select("doc_id", "mark", F.md5("text").alias("md5"), F.octet_length("text").cast("long").alias("size")), "heads")
+    if heads.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").isEmpty():
+        source, heads = (df.withColumn("mark", F.lit(0).cast("long")) for df in (source, heads))  # ids tell texts apart
+    first = heads.groupBy("md5").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = materialize(heads.join(first, "md5").where("doc_id > first").select("doc_id", "mark", "size").distinct(), "copies")
+    few = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    lean = source.where(eligible).join(few, ["doc_id", "mark"], "left_anti").select("doc_id", "text", "mark")
+    held = materialize(lean.mapInArrow(_lister(length, gram), "anchor long, doc_id long, mark long"), "anchors")
+    shared = held.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = materialize(shared, "shared-anchors")
+    release(docs)
+    wanted = held.join(shared, "anchor", "left_semi").groupBy("doc_id", "mark").agg(F.collect_list("anchor").alias("anchors"))
+    wanted = materialize(wanted, "document-anchors")
+    discard(held)
+    schema = "anchor long, content long, doc_id long, mark long, at long, piece binary"
+    pieces = materialize(lean.join(wanted, ["doc_id", "mark"]).select("doc_id", "text", "mark", "anchors").mapInArrow(_extractor(length, gram), schema), "pieces")
+    discard(wanted)
+    owner = materialize(pieces.groupBy("anchor", "content").agg(F.min("doc_id").alias("owner"), F.any_value("piece").alias("piece")), "piece-owners")
+    release(docs)
     several = owner.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    several = several.join(owner, "anchor").select("anchor", "content", F.col("owner").alias("doc_id"), "n")
-    bodies = materialize(pieces.join(several, ["anchor", "content", "doc_id"]).select("anchor", "content", F.col("doc_id").alias("owner"), "piece", "n").dropDuplicates(["anchor", "content"]), "piece-bodies")
-    tasks = max(1, int(bodies.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0] // (4 * _INDEX_BYTES)) + 1)
+    bodies = materialize(owner.join(several, "anchor"), "piece-bodies")
+    tasks = int(bodies.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0] // (4 * _INDEX_BYTES)) + 1
     index = bodies.where(F.col("n") <= crowd).select("anchor", "content", "owner", "piece").repartition(tasks, "anchor").sortWithinPartitions("anchor")
     cuts = index.mapInArrow(_indexer(length), "anchor long, content long, owner long, lo long, hi long")
     strings = bodies.where(F.col("n") > crowd).select("anchor", "content", "owner", "piece").mapInArrow(_windower(length), "anchor long, content long, owner long, lo long, bytes binary")
     low = strings.groupBy("bytes").agg(F.min("owner").alias("low"))
     crowded = strings.join(low, "bytes").where("low < owner").select("anchor", "content", "owner", "lo", (F.col("lo") + length).alias("hi"))
     cuts = materialize(cuts.union(crowded), "piece-cuts")
-    place = pieces.select("anchor", "content", "doc_id", "mark", "start", "size")
-    whole = place.join(owner, ["anchor", "content"]).where("owner < doc_id").select("doc_id", "mark", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-    part = place.join(cuts.withColumnRenamed("owner", "doc_id"), ["anchor", "content", "doc_id"]).select("doc_id", "mark", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    spans = materialize(whole.union(part).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    _release(docs)
+    release(docs)
+    place = pieces.select("anchor", "content", "doc_id", "mark", "at")
+    start, size = F.shiftrightunsigned("at", 8), F.col("at").bitwiseAND(F.lit(255).cast("long")) + length
+    whole = place.join(owner.select("anchor", "content", "owner"), ["anchor", "content"]).where("owner < doc_id").select("doc_id", "mark", start.alias("lo"), (start + size).alias("hi"))
+    part = place.join(cuts.withColumnRenamed("owner", "doc_id"), ["anchor", "content", "doc_id"]).select("doc_id", "mark", (start + F.col("lo")).alias("lo"), (start + F.col("hi")).alias("hi"))
+    spans = whole.union(part).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = spans.union(copies.select("doc_id", "mark", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"))).alias("spans")))
+    spans = materialize(spans, "spans")
+    discard(pieces)
     out = source.join(spans.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     return out.select("doc_id", "text", "spans").mapInArrow(_remover(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
