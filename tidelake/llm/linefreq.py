@@ -93,7 +93,7 @@ def removed_lines(docs: DataFrame, min_docs: int, percent: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     line = docs.select("doc_id", "mark", "host", F.explode(F.split(text, "\n")).alias("line")).where(_has_word(F.col("line")))
     line = line.select("doc_id", "mark", "host", F.xxhash64(normal_line(F.col("line"))).alias("line_hash"), F.size(words(F.col("line"))).cast("long").alias("n"))
-    line = line.groupBy("host", "line_hash", "mark", "doc_id").agg(F.sum("n").alias("n"))
+    line = materialize(line.groupBy("host", "line_hash", "mark", "doc_id").agg(F.sum("n").alias("n")), "host-lines")
     texts = docs.select("host", "mark").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     owner = line.groupBy("host", "line_hash", "mark").agg(F.min("doc_id").alias("first_doc"))
     count = owner.groupBy("host", "line_hash").agg(F.count("*").alias("n_docs"), F.min("first_doc").alias("first_doc"))
@@ -107,7 +107,7 @@ def _join_marked(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").drop("_id", "_mark")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, percent: int = 10, min_left: int = 30, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, percent: int = 10, min_left: int = 30, min_words: int = 50, max_repeat: int = 50, lost: DataFrame | None = None) -> DataFrame:
     """One row per document: id, base statistics, n_removed_words, base_failed and kept.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat`` percent of them
@@ -116,10 +116,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
     Defined cases: a null text has no words (and fails); a null host is the host ""; rows repeated
     under one id are judged each; rows with a null id are told apart by their text. Only the three
-    named columns are read.
+    named columns are read. ``lost`` is what ``removed_lines`` gives, where that is known already.
     """
     docs = keyed(docs, id_col, text_col, host_col)
-    lost = removed_lines(docs, min_docs, percent).groupBy("doc_id", "mark").agg(F.sum("n").alias("n_removed_words"))
+    lost = removed_lines(docs, min_docs, percent) if lost is None else lost
+    lost = lost.groupBy("doc_id", "mark").agg(F.sum("n").alias("n_removed_words"))
     out = _join_marked(base_stats(docs).drop("text", "host"), lost)
     n, removed = F.col("n_words"), F.coalesce("n_removed_words", F.lit(0))
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat * n)
@@ -133,11 +134,12 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """The documents that ``judge`` keeps, all their columns, without the lines above the limits."""
     read = keyed(docs, id_col, text_col, host_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0).cast("long")).alias("mark"))
+    gone = materialize(removed_lines(read, min_docs, percent), "removed-lines")
     # a table in between, as a filter pushed below the statistics would repeat their expressions
-    verdicts = materialize(judge(docs, id_col, text_col, host_col, min_docs, percent, **limits), "verdicts")
+    verdicts = materialize(judge(docs, id_col, text_col, host_col, min_docs, percent, lost=gone, **limits), "verdicts")
     kept = verdicts.where("kept").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
     packed = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
-    lost = removed_lines(read, min_docs, percent).groupBy("doc_id", "mark").agg(F.collect_set("line_hash").alias("_lost"))
+    lost = gone.groupBy("doc_id", "mark").agg(F.collect_set("line_hash").alias("_lost"))
     out = _join_marked(packed, lost)
     text = F.col(f"_row.`{text_col}`")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_lost", F.xxhash64(normal_line(x)))), "\n")
