@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linefreq import normal_line
-from .scratch import materialize
+from .scratch import materialize, release
 
 #: Line hashes that may be sent to every executor as a hash table.
 BROADCAST_IDS = 500_000
@@ -92,13 +92,30 @@ def segment_keys(line: Column, scope: Column, tau: int) -> tuple[Column, Column]
     return F.array(*own), F.array(*probes)
 
 
+def _identity(line: Column, scope: Column) -> Column:
+    """A 64-bit hash whose lower half holds the parities of the numbers of words in 32 classes.
+
+    An edit changes at most three words (two become one, or one two), so lines within tau edits
+    differ in at most 3 tau of these bits.
+    """
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(32)).cast("int"))
+    parity = F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
+    return F.call_function("shiftleft", F.xxhash64(scope, line), F.lit(32)).bitwiseOR(parity)
+
+
+def _parities(line: Column, seed: int) -> Column:
+    """Parities of the numbers of words in 64 classes; as in ``_identity``, an edit changes at most three."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, within_document: bool) -> DataFrame:
     """(doc_id, mark, pos, scope, line, h) of the lines that are long enough to compare."""
     text = F.col(text_col).cast("string")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("mark"), F.posexplode(F.split(text, "\\n")).alias("pos", "line"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("mark"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     line = docs.select("doc_id", "mark", "pos", normal_line(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
     scope = F.xxhash64("doc_id", "mark") if within_document else F.lit(0).cast("long")
-    return line.withColumn("scope", scope).withColumn("h", F.xxhash64("scope", "line"))
+    return line.withColumn("scope", scope).withColumn("h", _identity(F.col("line"), F.col("scope")))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 16, within_document: bool = False) -> DataFrame:
@@ -111,19 +128,27 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     ``within_document`` compares only lines of one document.
 
     Equal lines are collapsed before the join, with their first place only, so a line that is in a
-    third of all documents is one row there. Lines are told apart by a 64-bit hash.
+    third of all documents is one row there. Lines are told apart by a 64-bit hash, half of which
+    also bounds the number of edits (``_identity``): lines that share a segment but differ in too
+    many words are no candidates.
     """
-    line = _lines(docs, id_col, text_col, min_chars, within_document)
+    line = materialize(_lines(docs, id_col, text_col, min_chars, within_document), "lines")
     own, probes = segment_keys(F.col("line"), F.col("scope"), tau)
     place = F.struct("doc_id", "mark", "pos")
     distinct = materialize(line.select("h", place.alias("first"), own.alias("own"), probes.alias("probes")).groupBy("h").agg(F.min("first").alias("first"), F.any_value("own").alias("own"), F.any_value("probes").alias("probes")), "line-keys")
+    release(line)
     indexed = distinct.select(F.col("h").alias("a"), F.explode("own").alias("key"))
     probing = distinct.select(F.col("h").alias("b"), F.explode("probes").alias("key"))
-    pairs = indexed.join(probing, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = indexed.join(probing, "key").where(f"a <> b and bit_count((a ^ b) & 4294967295) <= {3 * tau}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "line-pairs")
+    release(line)
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = materialize(line.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.any_value("line").alias("line")), "line-texts")
+    marks = materialize(texts.select("h", *[_parities(F.col("line"), k).alias(f"p{k}") for k in range(3)]), "line-parities")
+    mark = lambda x: marks.select(F.col("h").alias(x), *[F.col(f"p{k}").alias(f"{x}{k}") for k in range(3)])
+    alike = " and ".join(f"bit_count(a{k} ^ b{k}) <= {3 * tau}" for k in range(3))
+    pairs = materialize(pairs.join(mark("a"), "a").join(mark("b"), "b").where(alike).select("a", "b"), "line-candidates")
     side = lambda x: texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", characters(F.col("line_a")).alias("ca"), characters(F.col("line_b")).alias("cb"))
     links = materialize(both.where(within_distance(F.col("ca"), F.col("cb"), tau)).select("a", "b"), "line-links")
@@ -148,7 +173,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("_text"))
     out = packed.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_mark")), "left")
     text = F.col(f"_row.`{text_col}`")
-    left = F.array_join(F.filter(F.split(text, "\\n"), lambda x, i: ~F.array_contains("_gone", i)), "\\n")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     new = F.when(F.col("_gone").isNull(), text).otherwise(left)
     return out.select(*[(new if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
@@ -158,7 +183,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = removals(docs, id_col, text_col, **options).groupBy("doc_id", "mark").agg(F.count("*").alias("n_removed"), F.count_if("near").alias("n_near_removed"))
     gone = gone.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
     text = F.col(text_col).cast("string")
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("mark"), F.coalesce(F.size(F.split(text, "\\n")), F.lit(0)).cast("long").alias("n_lines"))
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("mark"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"))
     out = read.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     zero = F.lit(0).cast("long")
     return out.select(F.col("doc_id").alias(id_col), "n_lines", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_near_removed", zero).alias("n_near_removed"))
