@@ -92,6 +92,16 @@ def segment_keys(line: Column, scope: Column, tau: int) -> tuple[Column, Column]
     return F.array(*own), F.array(*probes)
 
 
+def own_places(tau: int) -> list[int]:
+    """Where a line's own segments stand among the substrings it looks up: those of its own length, not shifted."""
+    found, at = [], 0
+    for i in range(tau + 1):
+        reach = min(i, tau - i)
+        found.append(at + reach)
+        at += 2 * reach + 1
+    return found
+
+
 def _identity(line: Column, scope: Column) -> Column:
     """A 64-bit hash whose lower half holds the parities of the numbers of words in 32 classes.
 
@@ -133,11 +143,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     many words are no candidates.
     """
     line = materialize(_lines(docs, id_col, text_col, min_chars, within_document), "lines")
-    own, probes = segment_keys(F.col("line"), F.col("scope"), tau)
+    _, probes = segment_keys(F.col("line"), F.col("scope"), tau)
     place = F.struct("doc_id", "mark", "pos")
-    distinct = materialize(line.select("h", place.alias("first"), own.alias("own"), probes.alias("probes")).groupBy("h").agg(F.min("first").alias("first"), F.any_value("own").alias("own"), F.any_value("probes").alias("probes")), "line-keys")
+    distinct = materialize(line.select("h", place.alias("first"), probes.alias("probes")).groupBy("h").agg(F.min("first").alias("first"), F.any_value("probes").alias("probes")), "line-keys")
     release(line)
-    indexed = distinct.select(F.col("h").alias("a"), F.explode("own").alias("key"))
+    indexed = distinct.select(F.col("h").alias("a"), F.explode(F.array(*[F.get("probes", F.lit(k)) for k in own_places(tau)])).alias("key"))
     probing = distinct.select(F.col("h").alias("b"), F.explode("probes").alias("key"))
     pairs = indexed.join(probing, "key").where(f"a <> b and bit_count((a ^ b) & 4294967295) <= {3 * tau}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "line-pairs")
