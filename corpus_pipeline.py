@@ -17,6 +17,10 @@ from tidelake.llm.queries import tokenizer
 from tidelake.runtime import ship
 
 
+#: What near-dedup takes as copies; line dedup spares the same ones.
+NEAR = {"words": 5, "percent": 80}
+
+
 def _recount(docs: DataFrame) -> DataFrame:
     """n_chars anew, as texts may have lost lines."""
     if "n_chars" not in docs.columns:
@@ -30,18 +34,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines within two edits of an earlier line of the same document.
+    """Drops lines equal to or within two edits of an earlier line of the corpus.
 
-    Repeats across documents are left to the stages before and after it: taking them here would
-    reduce near copies to fragments that no longer resemble each other.
+    Documents that near-dedup would drop own no line, and keep or lose lines as the document of
+    their group that stays does: taken from the copies alone, lines would leave fragments that no
+    longer resemble it.
     """
-    return _recount(editlines.dedup_lines(docs, within_document=True))
+    ship(spark)
+    with scratch.passing() as made:
+        groups = minhash.near_duplicates(docs, **NEAR).where("not kept")
+        copies = scratch.materialize(groups.select("doc_id", F.col("component_id").alias("copy_of")).distinct(), "copies")
+        made.remove(copies)
+    return _recount(editlines.dedup_lines(docs, copies=copies))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by a similarity of 0.8 or more on 5-word shingles."""
     ship(spark)
-    return minhash.deduplicate(docs, words=5, percent=80)
+    return minhash.deduplicate(docs, **NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

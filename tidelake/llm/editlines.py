@@ -5,11 +5,11 @@ Only DataFrame functions: everything runs inside the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linefreq import normal_line
-from .scratch import materialize, release
+from .scratch import discard, materialize, release
 
 #: Line hashes that may be sent to every executor as a hash table.
 BROADCAST_IDS = 500_000
@@ -119,16 +119,18 @@ def _parities(line: Column, seed: int) -> Column:
     return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, within_document: bool) -> DataFrame:
-    """(doc_id, mark, pos, scope, line, h) of the lines that are long enough to compare."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, within_document: bool, copies: DataFrame | None = None) -> DataFrame:
+    """(doc_id, mark, pos, copy_of, scope, line, h) of the lines that are long enough to compare."""
     text = F.col(text_col).cast("string")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("mark"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    line = docs.select("doc_id", "mark", "pos", normal_line(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    docs = docs.withColumn("copy_of", F.lit(None).cast("long")) if copies is None else docs.join(copies.select("doc_id", "copy_of"), "doc_id", "left")
+    docs = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("mark"), "copy_of", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = docs.select("doc_id", "mark", "copy_of", "pos", normal_line(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
     scope = F.xxhash64("doc_id", "mark") if within_document else F.lit(0).cast("long")
     return line.withColumn("scope", scope).withColumn("h", _identity(F.col("line"), F.col("scope")))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 16, within_document: bool = False) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 16, within_document: bool = False, copies: DataFrame | None = None) -> DataFrame:
     """(doc_id, mark, pos, near) of every line that repeats an earlier one.
 
     Lines are compared in the form of ``normal_line`` (A-Z lowered, digits as 0, white space
@@ -137,14 +139,20 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     earlier than the line itself did. Lines are judged on the input, not on what is left.
     ``within_document`` compares only lines of one document.
 
+    ``copies`` (doc_id, copy_of; one row for each id) names documents that a later step drops as
+    near copies of document ``copy_of``. Lines are then judged on the other documents alone. A copy
+    loses the lines that another group's document keeps or its original loses, and its own repeats,
+    but no line for standing in its original: it stays a copy that the later step recognises, and no
+    line goes for standing in a document that will be dropped.
+
     Equal lines are collapsed before the join, with their first place only, so a line that is in a
     third of all documents is one row there. Lines are told apart by a 64-bit hash, half of which
     also bounds the number of edits (``_identity``): lines that share a segment but differ in too
     many words are no candidates.
     """
-    line = materialize(_lines(docs, id_col, text_col, min_chars, within_document), "lines")
+    line = materialize(_lines(docs, id_col, text_col, min_chars, within_document, copies), "lines")
     _, probes = segment_keys(F.col("line"), F.col("scope"), tau)
-    place = F.struct("doc_id", "mark", "pos")
+    place = F.when(F.col("copy_of").isNull(), F.struct("doc_id", "mark", "pos"))
     distinct = materialize(line.select("h", place.alias("first"), probes.alias("probes")).groupBy("h").agg(F.min("first").alias("first"), F.any_value("probes").alias("probes")), "line-keys")
     release(line)
     indexed = distinct.select(F.col("h").alias("a"), F.explode(F.array(*[F.get("probes", F.lit(k)) for k in own_places(tau)])).alias("key"))
@@ -165,9 +173,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     each = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = distinct.select("h", "first")
     seen = each.join(first.select(F.col("h").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-    later = first.join(seen.withColumnRenamed("a", "h"), "h", "left").select("h", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near"))
-    at = line.select("h", "doc_id", "mark", "pos")
-    return at.join(later, "h").where("near or not (struct(doc_id, mark, pos) <=> first)").select("doc_id", "mark", "pos", "near")
+    later = first.join(seen.withColumnRenamed("a", "h"), "h", "left").select("h", "first", "other", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near"))
+    at = line.select("h", "doc_id", "mark", "pos", "copy_of")
+    gone = "copy_of is null and (near or not (struct(doc_id, mark, pos) <=> first))"
+    if copies is not None:
+        own = at.where("copy_of is not null").withColumn("own", F.min("pos").over(Window.partitionBy("doc_id", "mark", "h")))
+        at = at.where("copy_of is null").withColumn("own", F.col("pos")).union(own)
+        later = later.withColumn("elsewhere", F.coalesce("first", "other"))
+        gone = f"{gone} or copy_of is not null and (near or pos > own or elsewhere is not null and not (elsewhere.doc_id <=> copy_of))"
+    return at.join(later, "h").where(gone).select("doc_id", "mark", "pos", "near")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

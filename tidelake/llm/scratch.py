@@ -6,6 +6,7 @@ re-computation, and random decisions of the scheduler never change rows that wer
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -39,9 +40,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    for made in _OPEN:
+        made.append(out)
     return out
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def passing():
+    """Removes the tables materialized inside when it ends, except those taken from the list that it gives."""
+    made: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.pop()
+        for df in made:
+            discard(df)
+
+
 def release(df: DataFrame) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished steps."""
     gc.collect()
