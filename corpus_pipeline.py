@@ -17,6 +17,9 @@ from tidelake.llm.queries import tokenizer
 from tidelake.runtime import ship
 
 
+#: Distinct texts of a source beyond which a line is frequent at any size: 10 % of 500, so that larger sources aren't held to less.
+ENOUGH = 50
+
 #: What near-dedup takes as copies; line dedup spares the same ones.
 NEAR = {"words": 5, "percent": 80}
 
@@ -30,7 +33,7 @@ def _recount(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the rules; the others lose lines that too many documents of their source share."""
-    return _recount(linefreq.clean(docs))
+    return _recount(linefreq.clean(docs, enough=ENOUGH))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,12 @@ def test_no_line_goes_for_standing_in_a_document_that_near_dedup_drops(spark):
     docs = spark.createDataFrame([(i, "\n".join(x), "en", "s", 0) for i, x in texts.items()], COLUMNS)
     left = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert left[1] == base and left[2] == base and left[3] == texts[3]
+
+
+def test_the_same_frequent_line_goes_from_small_and_large_sources(spark):
+    words = "concat_ws(' ', transform(sequence(1, 60), k -> concat('w', translate(cast(id * 100 + k as string), '0123456789', 'abcdefghij'))))"
+    line = f"'{SENTENCE}'"
+    text = f"if(id < 60 or id >= 50000, concat({line}, '\\n', {words}), {words})"
+    docs = spark.range(50050).selectExpr("id as doc_id", f"{text} as text", "'en' as lang", "if(id < 50000, 'large', 'small') as source", "0L as n_chars")
+    out = corpus_pipeline.quality_rules(spark, docs, "").where(f"startswith(text, {line})")
+    assert sorted(r.doc_id for r in out.collect()) == [0, 50000]

@@ -81,13 +81,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("mark"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"))
 
 
-def removed_lines(docs: DataFrame, min_docs: int, percent: int) -> DataFrame:
+def removed_lines(docs: DataFrame, min_docs: int, percent: int, enough: int | None = None) -> DataFrame:
     """(doc_id, mark, line_hash, n words, occurrences) of the lines that ``keyed`` documents lose.
 
     A line counts once for each distinct text of its host, so exact copies are one document. It is
     above the limits where more than ``min_docs`` and more than ``percent`` of the host's distinct
-    texts have it; the document with the smallest id keeps it, so that no content is lost
-    altogether. Counts are combined before each shuffle, and the joined side has one row for each
+    texts have it, or, where ``enough`` is given, more than ``enough`` of them whatever the size of the
+    host; the document with the smallest id keeps it, so that no content is lost altogether. Counts are combined before each shuffle, and the joined side has one row for each
     frequent line, however many documents hold it.
     """
     text = F.coalesce("text", F.lit(""))
@@ -97,7 +97,8 @@ def removed_lines(docs: DataFrame, min_docs: int, percent: int) -> DataFrame:
     texts = docs.select("host", "mark").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     owner = line.groupBy("host", "line_hash", "mark").agg(F.min("doc_id").alias("first_doc"))
     count = owner.groupBy("host", "line_hash").agg(F.count("*").alias("n_docs"), F.min("first_doc").alias("first_doc"))
-    hot = count.where(F.col("n_docs") > min_docs).join(texts, "host").where(100 * F.col("n_docs") > percent * F.col("host_docs"))
+    share = 100 * F.col("n_docs") > percent * F.col("host_docs")
+    hot = count.where(F.col("n_docs") > min_docs).join(texts, "host").where(share if enough is None else share | (F.col("n_docs") > enough))
     return line.join(hot.select("host", "line_hash", "first_doc"), ["host", "line_hash"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("doc_id", "mark", "line_hash", "n")
 
 
@@ -107,7 +108,7 @@ def _join_marked(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").drop("_id", "_mark")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, percent: int = 10, min_left: int = 30, min_words: int = 50, max_repeat: int = 50, lost: DataFrame | None = None) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, percent: int = 10, min_left: int = 30, min_words: int = 50, max_repeat: int = 50, lost: DataFrame | None = None, enough: int | None = None) -> DataFrame:
     """One row per document: id, base statistics, n_removed_words, base_failed and kept.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat`` percent of them
@@ -119,7 +120,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     named columns are read. ``lost`` is what ``removed_lines`` gives, where that is known already.
     """
     docs = keyed(docs, id_col, text_col, host_col)
-    lost = removed_lines(docs, min_docs, percent) if lost is None else lost
+    lost = removed_lines(docs, min_docs, percent, enough) if lost is None else lost
     lost = lost.groupBy("doc_id", "mark").agg(F.sum("n").alias("n_removed_words"))
     out = _join_marked(base_stats(docs).drop("text", "host"), lost)
     n, removed = F.col("n_words"), F.coalesce("n_removed_words", F.lit(0))
@@ -130,11 +131,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     )
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, percent: int = 10, **limits: int) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, percent: int = 10, enough: int | None = None, **limits: int) -> DataFrame:
     """The documents that ``judge`` keeps, all their columns, without the lines above the limits."""
     read = keyed(docs, id_col, text_col, host_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0).cast("long")).alias("mark"))
-    gone = materialize(removed_lines(read, min_docs, percent), "removed-lines")
+    gone = materialize(removed_lines(read, min_docs, percent, enough), "removed-lines")
     # a table in between, as a filter pushed below the statistics would repeat their expressions
     verdicts = materialize(judge(docs, id_col, text_col, host_col, min_docs, percent, lost=gone, **limits), "verdicts")
     kept = verdicts.where("kept").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
