@@ -1,6 +1,7 @@
 """Each operator against a plain version on a small table of awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -348,6 +349,14 @@ def test_line_dedup(spark, within):
         assert left[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone))
 
 
+@pytest.mark.parametrize("within", [False, True])
+def test_lines_of_the_same_words_are_told_apart(spark, within):
+    orders = [" ".join(x) for x in itertools.permutations("ab bc cd de ef fg gh hi ij".split())]
+    df = spark.createDataFrame([(i, "\n".join(orders[i::100])) for i in range(100)], "doc_id long, text string")
+    lines = editlines._lines(df, "doc_id", "text", 16, within)
+    assert lines.select("h").distinct().count() == len(orders) == lines.count()
+
+
 # 10
 
 

@@ -5,14 +5,20 @@ Only DataFrame functions: everything runs inside the JVM.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linefreq import normal_line
-from .scratch import discard, materialize, release
+from .scratch import materialize, release
 
 #: Line hashes that may be sent to every executor as a hash table.
 BROADCAST_IDS = 500_000
+#: Parts of the keys that are joined one after the other.
+PASSES = 2
+#: Of the parities that go along in the join; later ones have seeds of their own.
+PARITY_SEED = 42
 
 
 def within_distance(a: Column, b: Column, tau: int) -> Column:
@@ -102,32 +108,25 @@ def own_places(tau: int) -> list[int]:
     return found
 
 
-def _identity(line: Column, scope: Column) -> Column:
-    """A 64-bit hash whose lower half holds the parities of the numbers of words in 32 classes.
+def _parities(line: Column, seed: int) -> Column:
+    """Parities of the numbers of words in 64 classes.
 
     An edit changes at most three words (two become one, or one two), so lines within tau edits
     differ in at most 3 tau of these bits.
     """
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(32)).cast("int"))
-    parity = F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
-    return F.call_function("shiftleft", F.xxhash64(scope, line), F.lit(32)).bitwiseOR(parity)
-
-
-def _parities(line: Column, seed: int) -> Column:
-    """Parities of the numbers of words in 64 classes; as in ``_identity``, an edit changes at most three."""
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(64)).cast("int"))
     return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, within_document: bool, copies: DataFrame | None = None) -> DataFrame:
-    """(doc_id, mark, pos, copy_of, scope, line, h) of the lines that are long enough to compare."""
+    """(doc_id, mark, pos, copy_of, scope, line, h) of the lines that are long enough to compare; h is a 64-bit hash of scope and line."""
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.withColumn("copy_of", F.lit(None).cast("long")) if copies is None else docs.join(copies.select("doc_id", "copy_of"), "doc_id", "left")
     docs = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("mark"), "copy_of", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = docs.select("doc_id", "mark", "copy_of", "pos", normal_line(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
     scope = F.xxhash64("doc_id", "mark") if within_document else F.lit(0).cast("long")
-    return line.withColumn("scope", scope).withColumn("h", _identity(F.col("line"), F.col("scope")))
+    return line.withColumn("scope", scope).withColumn("h", F.xxhash64("scope", "line"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 16, within_document: bool = False, copies: DataFrame | None = None) -> DataFrame:
@@ -146,20 +145,26 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     line goes for standing in a document that will be dropped.
 
     Equal lines are collapsed before the join, with their first place only, so a line that is in a
-    third of all documents is one row there. Lines are told apart by a 64-bit hash, half of which
-    also bounds the number of edits (``_identity``): lines that share a segment but differ in too
-    many words are no candidates.
+    third of all documents is one row there. Lines are told apart by a 64-bit hash; word parities
+    beside it bound the number of edits: lines that share a segment but differ in too many words are
+    no candidates. The join on segments runs in ``PASSES`` parts of the keys, each of which gives its
+    shuffle files back before the next.
     """
     line = materialize(_lines(docs, id_col, text_col, min_chars, within_document, copies), "lines")
     _, probes = segment_keys(F.col("line"), F.col("scope"), tau)
     place = F.when(F.col("copy_of").isNull(), F.struct("doc_id", "mark", "pos"))
-    distinct = materialize(line.select("h", place.alias("first"), probes.alias("probes")).groupBy("h").agg(F.min("first").alias("first"), F.any_value("probes").alias("probes")), "line-keys")
-    release(line)
-    indexed = distinct.select(F.col("h").alias("a"), F.explode(F.array(*[F.get("probes", F.lit(k)) for k in own_places(tau)])).alias("key"))
-    probing = distinct.select(F.col("h").alias("b"), F.explode("probes").alias("key"))
-    pairs = indexed.join(probing, "key").where(f"a <> b and bit_count((a ^ b) & 4294967295) <= {3 * tau}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "line-pairs")
+    read = line.select("h", place.alias("first"), probes.alias("probes"), _parities(F.col("line"), PARITY_SEED).alias("parity"))
+    distinct = materialize(read.groupBy("h").agg(F.min("first").alias("first"), F.any_value("probes").alias("probes"), F.any_value("parity").alias("parity")), "line-keys")
     release(line)
+    found = []
+    for i in range(PASSES):
+        part = F.pmod("key", F.lit(PASSES)) == i
+        indexed = distinct.select(F.col("h").alias("a"), F.col("parity").alias("pa"), F.explode(F.array(*[F.get("probes", F.lit(k)) for k in own_places(tau)])).alias("key")).where(part)
+        probing = distinct.select(F.col("h").alias("b"), F.col("parity").alias("pb"), F.explode("probes").alias("key")).where(part)
+        pairs = indexed.join(probing, "key").where(f"a <> b and bit_count(pa ^ pb) <= {3 * tau}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found.append(materialize(pairs, "line-pairs"))
+        release(line)
+    pairs = functools.reduce(DataFrame.union, found).distinct()
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = materialize(line.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.any_value("line").alias("line")), "line-texts")
