@@ -150,6 +150,12 @@ def test_contamination(spark, docs, rows, block_bytes):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, *_, bad in [(x, e[-1]) for (x, _), e in zip(rows, expected, strict=True)] if not bad}
 
 
+def test_contamination_gives_every_row_back_whatever_the_blocks(spark, docs):
+    bench = spark.createDataFrame([(i, " ".join(f"unseen{i}n{j}" for j in range(20))) for i in range(20)] + [(30, "one two")], "item_id long, text string")
+    one, many = ([str(r) for r in winnow.digest(winnow.contamination(docs, bench, block_bytes=n)).collect()] for n in (1 << 20, 600))
+    assert sorted(one) == sorted(many)
+
+
 # 4
 
 

@@ -203,7 +203,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     every = passes[0]
     for one in passes[1:]:
         every = every.union(one)
-    found = every.groupBy("doc_id", "row_mark", "n_words").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    found = every.groupBy("doc_id", "row_mark", "n_words").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.count("*").alias("n"))
+    # each pass gives every row once, so equal rows come back as often as they are in the table
+    found = found.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("n") / blocks)))).drop("n", "_row")
     return found.mapInArrow(_joiner, _HIT)
 
 
