@@ -7,20 +7,28 @@ re-computation, and random decisions of the scheduler never change rows that wer
 from __future__ import annotations
 
 import contextlib
-import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark then deletes an execution's shuffle files when it ends, instead of at some later garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one if all executors are threads of this process, else one in the
+    warehouse, which they share.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if not named and re.match(r"local(\[|$)", spark.sparkContext.master):
         named = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="tidelake-")
         shared_dir.own = named
-    return named.rstrip("/")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/tidelake-scratch").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -37,7 +45,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return the written table."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     for made in _OPEN:
@@ -61,15 +70,26 @@ def passing():
             discard(df)
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Executions inside leave no shuffle files; what they wrote is read from its table."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def discard(df: DataFrame) -> None:
-    """Removes a materialized table that no later step reads, and lets Spark drop finished shuffles."""
+    """Removes a materialized table that no later step reads."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release(df)
+    for made in _OPEN:
+        if df in made:
+            made.remove(df)
+
+
+def release(df: DataFrame) -> None:
+    """Nothing is left to release: shuffle files go with their execution."""
