@@ -326,7 +326,8 @@ def test_banded_distance_and_segments(spark, tau):
     assert wrong.count() == 0
     own, probes = {}, {}
     for c in "ab":
-        own[c], probes[c] = editlines.segment_keys(F.col(c), F.lit(0), tau)
+        probes[c] = editlines.segment_keys(F.col(c), F.lit(0), tau)
+        own[c] = F.array(*[F.get(probes[c], F.lit(k)) for k in editlines.own_places(tau)])
     df = df.where(f"near and length(a) > {tau} and length(b) > {tau}").select("a", "b", *[x.alias(f"{k}{c}") for k, s in (("o", own), ("p", probes)) for c, x in s.items()])
     assert df.where(~F.arrays_overlap("oa", "pb") & ~F.arrays_overlap("ob", "pa")).count() == 0
 
@@ -360,7 +361,21 @@ def test_lines_of_the_same_words_are_told_apart(spark, within):
     orders = [" ".join(x) for x in itertools.permutations("ab bc cd de ef fg gh hi ij".split())]
     df = spark.createDataFrame([(i, "\n".join(orders[i::100])) for i in range(100)], "doc_id long, text string")
     lines = editlines._lines(df, "doc_id", "text", 16, within)
-    assert lines.select("h").distinct().count() == len(orders) == lines.count()
+    assert lines.select("h").distinct().count() == lines.select("g").distinct().count() == len(orders) == lines.count()
+
+
+def test_lines_of_equal_first_hash_are_told_apart_by_the_second(spark, monkeypatch):
+    lines = editlines._lines
+    monkeypatch.setattr(editlines, "_lines", lambda *a: lines(*a).withColumn("h", F.lit(7).cast("long")))
+    rows = [(i, f"{x * 9} of line\nshared by all of them") for i, x in enumerate(["ab", "cd", "ef", "ab", "日本"])]
+    got = sorted((r.doc_id, r.pos, r.near) for r in editlines.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, False), (2, 1, False), (3, 0, False), (3, 1, False), (4, 1, False)]
+
+
+def test_an_equal_line_in_very_many_documents_is_no_repeat_within_them(spark):
+    df = spark.range(300_000).selectExpr("id as doc_id", "'the same line of words in every document' as text")
+    assert editlines.removals(df, within_document=True).isEmpty()
+    assert editlines.removals(df).count() == 299_999
 
 
 # 10

@@ -6,27 +6,29 @@ Only DataFrame functions: everything runs inside the JVM.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linefreq import normal_line
-from .scratch import materialize, release
+from .linefreq import plain_line, squeezed
+from .scratch import materialize, passing
 
-#: Line hashes that may be sent to every executor as a hash table.
-BROADCAST_IDS = 500_000
-#: Parts of the keys that are joined one after the other.
+#: Rows of ids and places that may be sent to every executor as a hash table.
+BROADCAST_ROWS = 200_000
+#: Parts of the keys that are brought together one after the other.
 PASSES = 2
-#: Of the parities that go along in the join; later ones have seeds of their own.
-PARITY_SEED = 42
+#: Letters whose numbers bound edits, 16 in a long.
+LETTERS = ("etaonihsrdlucmgb", "fpwyvkjxqz .,éüñ")
 
 
 def within_distance(a: Column, b: Column, tau: int) -> Column:
     """Whether two arrays of characters differ by at most ``tau`` insertions, deletions and substitutions.
 
-    Only the band of 2 tau + 1 diagonals is followed, as one bit vector for each column: vertical
-    steps up and down of the cells in the band, with carries of an addition running along matches.
-    The distance is summed along the diagonal on which the last cell lies.
+    What both have in common at either end is cut off first. Of the rest, only the band of 2 tau + 1
+    diagonals is followed, as one bit vector for each column: vertical steps up and down of the cells
+    in the band, with carries of an addition running along matches. The distance is summed along the
+    diagonal on which the last cell lies.
     """
     width, mask = 2 * tau + 1, (1 << (2 * tau + 1)) - 1
     start = ((1 << (tau + 1)) - 1) << tau
@@ -39,8 +41,7 @@ def within_distance(a: Column, b: Column, tau: int) -> Column:
         vp, vn = s["vp"], s["vn"]
 
         def column(pm: Column) -> Column:
-            zero = ((((pm.bitwiseAND(vp)) + vp).bitwiseXOR(vp)).bitwiseOR(pm).bitwiseOR(vn)).bitwiseAND(F.lit(mask))
-            return F.get(F.transform(F.array(zero), advance), F.lit(0))
+            return _with(((((pm.bitwiseAND(vp)) + vp).bitwiseXOR(vp)).bitwiseOR(pm).bitwiseOR(vn)).bitwiseAND(F.lit(mask)), advance)
 
         def advance(d0: Column) -> Column:
             up = vn.bitwiseOR(F.lit(mask).bitwiseXOR(d0.bitwiseOR(vp)))
@@ -54,79 +55,147 @@ def within_distance(a: Column, b: Column, tau: int) -> Column:
                 s["at"].alias("at"),
             )
 
-        return F.get(F.transform(F.array(match), column), F.lit(0))
+        return _with(match, column)
 
-    def run(pair: Column) -> Column:
-        p, t = pair["p"], pair["t"]
+    def run(p: Column, t: Column) -> Column:
         gap = F.size(p) - F.size(t)
         first = F.struct(F.lit(0).alias("j"), F.lit(start).alias("vp"), F.lit(0).alias("vn"), gap.alias("d"), (gap + tau).alias("at"))
         return F.aggregate(t, first, lambda s, c: step(p, s, c), lambda s: s["d"] <= tau)
 
-    pair = F.array(F.struct(longer.alias("p"), shorter.alias("t")))
-    return F.when(F.abs(F.size(a) - F.size(b)) > tau, F.lit(False)).otherwise(F.get(F.transform(pair, run), F.lit(0)))
+    def unlike(pair: Column) -> Column:
+        """The pair from its first different character on, reversed; twice, this leaves what both ends don't share."""
+        p, t = pair["p"], pair["t"]
+        rest = lambda x, i: F.reverse(F.slice(x, i, F.greatest(F.size(x) - i + 1, F.lit(0))))
+        return _with(F.greatest(_first_difference(p, t), F.lit(1)), lambda i: F.struct(rest(p, i).alias("p"), rest(t, i).alias("t")))
 
+    pair = F.struct(longer.alias("p"), shorter.alias("t"))
+    near = _with(_with(pair, unlike), lambda pair: _with(unlike(pair), lambda x: run(x["p"], x["t"])))
+    return F.when(F.abs(F.size(a) - F.size(b)) > tau, F.lit(False)).when(a == b, F.lit(True)).otherwise(near)
 
-def characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i (from 0) of ``parts`` even ones; the last ones are longer by one."""
-    base, longer = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    extra = F.greatest(F.lit(i) - (parts - longer), F.lit(0))
-    return base * i + extra + 1, base + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
+def _first_difference(a: Column, b: Column) -> Column:
+    """Place (from 1) of the first different entry of two arrays; 0 where they are equal."""
+    return F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")
+
+
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def segment_keys(line: Column, scope: Column, tau: int) -> tuple[Column, Column]:
-    """(keys of the line's own segments, keys of the substrings that it looks up).
+def _places(tau: int) -> list[tuple[int, int, int]]:
+    """(gap, segment, shift) of the substrings that a line looks up: lengths differ by gap, places by shift.
 
     With tau edits at least one of tau + 1 segments of the shorter line stands unchanged in the
-    longer one, and the edits left and right of it bound where. A key holds scope, indexed length,
-    number of the segment and its characters.
+    longer one, and the edits left and right of it bound where.
     """
-    length, parts = F.length(line).cast("int"), tau + 1
-    own, probes = [], []
-    for i in range(parts):
-        start, size = _segment(length, i, parts)
-        own.append(F.xxhash64(scope, length, F.lit(i), F.substring(line, start, size)))
-    for gap in range(tau + 1):
-        indexed = length - gap
-        for i in range(parts):
-            start, size = _segment(indexed, i, parts)
-            for shift in range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1):
-                probes.append(F.xxhash64(scope, indexed, F.lit(i), F.substring(line, start + shift, size)))
-    return F.array(*own), F.array(*probes)
+    return [(gap, i, shift) for gap in range(tau + 1) for i in range(tau + 1) for shift in range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1)]
 
 
 def own_places(tau: int) -> list[int]:
     """Where a line's own segments stand among the substrings it looks up: those of its own length, not shifted."""
-    found, at = [], 0
-    for i in range(tau + 1):
-        reach = min(i, tau - i)
-        found.append(at + reach)
-        at += 2 * reach + 1
-    return found
+    return [k for k, (gap, _, shift) in enumerate(_places(tau)) if gap == shift == 0]
 
 
-def _parities(line: Column, seed: int) -> Column:
+def segment_keys(line: Column, scope: Column, tau: int) -> Column:
+    """Keys of the substrings that a line looks up, its own segments among them.
+
+    Segments are even, the last ones longer by one. A key holds scope, indexed length, number of the
+    segment and its characters. One small expression goes over all places, as written out it would be
+    more code than the JVM compiles; it cuts the line as four bytes a character, in which places need
+    no scan.
+    """
+    parts = tau + 1
+    table = F.array(*[F.struct(F.lit(gap).alias("gap"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for gap, i, shift in _places(tau)])
+
+    def key(wide: Column, x: Column) -> Column:
+        indexed, i = F.call_function("div", F.octet_length(wide), F.lit(4)).cast("int") - x["gap"], x["i"]
+        base = F.call_function("div", indexed, F.lit(parts)).cast("int")
+        short = parts - indexed % parts  # segments from this one on are longer by one
+        start = base * i + F.greatest(i - short, F.lit(0)) + x["shift"]
+        return F.xxhash64(scope, indexed, i, F.substring(wide, 4 * start + 1, 4 * (base + F.when(i >= short, 1).otherwise(0))))
+
+    return _with(F.encode(line, "UTF-32"), lambda wide: F.transform(table, lambda x: key(wide, x)))
+
+
+def _word_parities(line: Column) -> Column:
     """Parities of the numbers of words in 64 classes.
 
     An edit changes at most three words (two become one, or one two), so lines within tau edits
     differ in at most 3 tau of these bits.
     """
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(64)).cast("int"))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
     return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
 
 
+def _letter_codes(line: Column, letters: str) -> Column:
+    """How often each of 16 letters occurs, modulo 8, as four bits of a long.
+
+    The four bits fill up from the right and empty again, so that counts one apart differ in one bit.
+    An edit changes the counts of at most two letters by one, so lines within tau edits differ in at
+    most 2 tau bits.
+    """
+    codes = F.array(*[F.lit((1 << m) - 1 if m < 5 else 15 << (m - 4) & 15).cast("long") for m in range(8)])
+    code = F.lit(0).cast("long")
+    for i, x in enumerate(letters):
+        count = F.length(line) - F.length(F.replace(line, F.lit(x), F.lit("")))
+        code = code.bitwiseOR(F.call_function("shiftleft", F.get(codes, F.pmod(count, F.lit(8)).cast("int")), F.lit(4 * i)))
+    return code
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, within_document: bool, copies: DataFrame | None = None) -> DataFrame:
-    """(doc_id, mark, pos, copy_of, scope, line, h) of the lines that are long enough to compare; h is a 64-bit hash of scope and line."""
+    """(doc_id, mark, pos, copy_of, scope, line, h, g) of the lines that are long enough to compare.
+
+    h and g are hashes of scope and line with seeds of their own, 128 bits that are a line's identity.
+    """
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.withColumn("copy_of", F.lit(None).cast("long")) if copies is None else docs.join(copies.select("doc_id", "copy_of"), "doc_id", "left")
-    docs = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("mark"), "copy_of", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = docs.select("doc_id", "mark", "copy_of", "pos", normal_line(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
+    # normalised inside the array, as the filters on length and on empty arrays would else repeat the expression
+    every = F.posexplode_outer(F.transform(F.transform(F.split("text", "\n"), plain_line), squeezed)).alias("pos", "line")
+    line = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("mark"), "copy_of", every).where(F.length("line") >= min_chars)
     scope = F.xxhash64("doc_id", "mark") if within_document else F.lit(0).cast("long")
-    return line.withColumn("scope", scope).withColumn("h", F.xxhash64("scope", "line"))
+    return line.withColumn("scope", scope).withColumns({"h": F.xxhash64("scope", "line"), "g": F.xxhash64(F.lit("g"), "line", "scope")})
+
+
+def _members(distinct: DataFrame, tau: int) -> DataFrame:
+    """(key, id, own) of all lines at keys that one line has as its own and another looks up.
+
+    A key's rows are sorted once; a line's number and whether the key is its own go as one long.
+    """
+    rows = distinct.select("id", F.posexplode("probes").alias("at", "key"))
+    rows = rows.select("key", (2 * F.col("id") + F.when(F.col("at").isin(own_places(tau)), 1).otherwise(0)).alias("who"))
+    found = []
+    for i in range(PASSES):
+        here = Window.partitionBy("key")
+        part = rows.where(F.pmod("key", F.lit(PASSES)) == i).withColumns({"low": F.min(F.expr("who div 2")).over(here), "high": F.max(F.expr("who div 2")).over(here), "own": F.max(F.expr("who & 1L")).over(here)})
+        found.append(materialize(part.where("low < high and own = 1").selectExpr("key", "who div 2 as id", "who & 1L = 1 as own"), "line-members"))
+    return functools.reduce(DataFrame.union, found)
+
+
+def _links(line: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
+    """(a, b): numbers of different lines within ``tau`` edits, each pair once."""
+    members = _members(distinct, tau)
+    ids = materialize(members.select("id").distinct(), "line-ids")
+    named = distinct.select("id", "h", "g").join(_small(ids), "id", "left_semi")
+    texts = materialize(line.select("h", "g", "line").join(_small(materialize(named, "line-names")), ["h", "g"]).groupBy("id").agg(F.any_value("line").alias("line")), "line-texts")
+    traits = materialize(texts.select("id", _word_parities(F.col("line")).alias("w"), *[_letter_codes(F.col("line"), x).alias(n) for n, x in zip("xy", LETTERS, strict=True)]), "line-traits")
+    side = lambda x, rows: rows.join(traits, "id").select("key", F.col("id").alias(x), *[F.col(c).alias(c + x) for c in "wxy"])
+    alike = f"a <> b and bit_count(wa ^ wb) <= {3 * tau} and bit_count(xa ^ xb) + bit_count(ya ^ yb) <= {2 * tau}"
+    pairs = side("a", members.where("own")).join(side("b", members), "key").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs, "line-pairs")
+    text = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
+    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", characters(F.col("line_a")).alias("ca"), characters(F.col("line_b")).alias("cb"))
+    return materialize(both.where(within_distance(F.col("ca"), F.col("cb"), tau)).select("a", "b"), "line-links")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A materialized table, to be sent to every executor only if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 16, within_document: bool = False, copies: DataFrame | None = None) -> DataFrame:
@@ -145,48 +214,33 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     line goes for standing in a document that will be dropped.
 
     Equal lines are collapsed before the join, with their first place only, so a line that is in a
-    third of all documents is one row there. Lines are told apart by a 64-bit hash; word parities
-    beside it bound the number of edits: lines that share a segment but differ in too many words are
-    no candidates. The join on segments runs in ``PASSES`` parts of the keys, each of which gives its
-    shuffle files back before the next.
+    third of all documents is one row there. Lines are told apart by 128 bits of hash. Keys are first
+    reduced to those that two different lines share, in ``PASSES`` parts; only there are lines paired,
+    under bounds on edits that counts of words and letters give. Many lines made from one template
+    share keys and are compared by these counts, but only those within the bounds become rows.
     """
-    line = materialize(_lines(docs, id_col, text_col, min_chars, within_document, copies), "lines")
-    _, probes = segment_keys(F.col("line"), F.col("scope"), tau)
-    place = F.when(F.col("copy_of").isNull(), F.struct("doc_id", "mark", "pos"))
-    read = line.select("h", place.alias("first"), probes.alias("probes"), _parities(F.col("line"), PARITY_SEED).alias("parity"))
-    distinct = materialize(read.groupBy("h").agg(F.min("first").alias("first"), F.any_value("probes").alias("probes"), F.any_value("parity").alias("parity")), "line-keys")
-    release(line)
-    found = []
-    for i in range(PASSES):
-        part = F.pmod("key", F.lit(PASSES)) == i
-        indexed = distinct.select(F.col("h").alias("a"), F.col("parity").alias("pa"), F.explode(F.array(*[F.get("probes", F.lit(k)) for k in own_places(tau)])).alias("key")).where(part)
-        probing = distinct.select(F.col("h").alias("b"), F.col("parity").alias("pb"), F.explode("probes").alias("key")).where(part)
-        pairs = indexed.join(probing, "key").where(f"a <> b and bit_count(pa ^ pb) <= {3 * tau}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found.append(materialize(pairs, "line-pairs"))
-        release(line)
-    pairs = functools.reduce(DataFrame.union, found).distinct()
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialize(line.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.any_value("line").alias("line")), "line-texts")
-    marks = materialize(texts.select("h", *[_parities(F.col("line"), k).alias(f"p{k}") for k in range(3)]), "line-parities")
-    mark = lambda x: marks.select(F.col("h").alias(x), *[F.col(f"p{k}").alias(f"{x}{k}") for k in range(3)])
-    alike = " and ".join(f"bit_count(a{k} ^ b{k}) <= {3 * tau}" for k in range(3))
-    pairs = materialize(pairs.join(mark("a"), "a").join(mark("b"), "b").where(alike).select("a", "b"), "line-candidates")
-    side = lambda x: texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", characters(F.col("line_a")).alias("ca"), characters(F.col("line_b")).alias("cb"))
-    links = materialize(both.where(within_distance(F.col("ca"), F.col("cb"), tau)).select("a", "b"), "line-links")
-    each = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = distinct.select("h", "first")
-    seen = each.join(first.select(F.col("h").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-    later = first.join(seen.withColumnRenamed("a", "h"), "h", "left").select("h", "first", "other", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near"))
-    at = line.select("h", "doc_id", "mark", "pos", "copy_of")
-    gone = "copy_of is null and (near or not (struct(doc_id, mark, pos) <=> first))"
-    if copies is not None:
-        own = at.where("copy_of is not null").withColumn("own", F.min("pos").over(Window.partitionBy("doc_id", "mark", "h")))
-        at = at.where("copy_of is null").withColumn("own", F.col("pos")).union(own)
-        later = later.withColumn("elsewhere", F.coalesce("first", "other"))
-        gone = f"{gone} or copy_of is not null and (near or pos > own or elsewhere is not null and not (elsewhere.doc_id <=> copy_of))"
-    return at.join(later, "h").where(gone).select("doc_id", "mark", "pos", "near")
+    with passing() as made:
+        line = materialize(_lines(docs, id_col, text_col, min_chars, within_document, copies), "lines")
+        probes = segment_keys(F.col("line"), F.col("scope"), tau)
+        place = F.when(F.col("copy_of").isNull(), F.struct("doc_id", "mark", "pos"))
+        read = line.select("h", "g", place.alias("first"), probes.alias("probes"))
+        distinct = read.groupBy("h", "g").agg(F.min("first").alias("first"), F.any_value("probes").alias("probes"), F.count("*").alias("n"))
+        distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "line-keys")
+        links = _links(line, distinct, tau)
+        each = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = distinct.select("id", "h", "g", "n", "first")
+        seen = each.join(first.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+        later = first.join(seen.withColumnRenamed("a", "id"), "id", "left").where("n > 1 or other is not null")
+        later = materialize(later.select("h", "g", "first", "other", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near")), "line-verdicts")
+        at = line.select("h", "g", "doc_id", "mark", "pos", "copy_of").join(_small(later), ["h", "g"])
+        gone = "copy_of is null and (near or not (struct(doc_id, mark, pos) <=> first))"
+        if copies is not None:
+            own = at.where("copy_of is not null").withColumn("own", F.min("pos").over(Window.partitionBy("doc_id", "mark", "h", "g")))
+            at = at.where("copy_of is null").withColumn("own", F.col("pos")).union(own).withColumn("elsewhere", F.coalesce("first", "other"))
+            gone = f"{gone} or copy_of is not null and (near or pos > own or elsewhere is not null and not (elsewhere.doc_id <=> copy_of))"
+        out = materialize(at.where(gone).select("doc_id", "mark", "pos", "near"), "removed-lines")
+        made.remove(out)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -20,10 +20,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _SPACES, " " * 6), " "), lambda w: w != "")
 
 
+def plain_line(line: Column) -> Column:
+    """A-Z lowered, digits as 0, white space as spaces."""
+    return F.translate(line, _UPPER + "123456789" + _SPACES, _LOWER + "0" * 9 + " " * 6)
+
+
+def squeezed(line: Column) -> Column:
+    """Runs of spaces as one, none at the ends."""
+    return F.btrim(F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " {2,}", " ")).otherwise(line))
+
+
 def normal_line(line: Column) -> Column:
     """The form in which lines are compared: A-Z lowered, digits as 0, white space collapsed and trimmed."""
-    plain = F.translate(line, _UPPER + "123456789" + _SPACES, _LOWER + "0" * 9 + " " * 6)
-    return F.btrim(F.regexp_replace(plain, " {2,}", " "))
+    return F.btrim(F.regexp_replace(plain_line(line), " {2,}", " "))
 
 
 def _without(text: Column, characters: str) -> Column:
