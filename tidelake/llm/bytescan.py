@@ -2,7 +2,8 @@
 
 All kernels work on a slice of documents: one flat byte array and the documents' offsets in it.
 Slices are cut at document borders at about ``SLICE_BYTES`` so that memory stays bounded whatever
-an Arrow batch holds; one longer document makes a slice of its own.
+an Arrow batch holds; one longer document makes a slice of its own, whose words are hashed in
+stretches of that size (``word_hashes``), which leaves about two bytes for each byte of text.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE_CODE = mix(np.arange(256, dtype=_U)) | _U(1)
+BYTE_CODE = mix(np.arange(256, dtype=_U)) | _U(1)
+GRAM_BASE = _BASE
 
 
 class _Powers:
@@ -64,7 +66,7 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``range_hash`` reads the hash of any byte range."""
     up, _ = _POWERS.get(len(data) + 1)
     out = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=out[1:])
+    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=out[1:])
     return out
 
 
@@ -114,6 +116,34 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     return start, end, np.searchsorted(start, offsets)
 
 
+def stretches(data: np.ndarray, separator: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of about ``limit`` bytes that end behind a separator, so that none cuts a word."""
+    at = 0
+    while at < len(data):
+        stop = at + limit
+        while stop < len(data):
+            found = np.flatnonzero(separator[data[stop : stop + 4096]])
+            if len(found):
+                stop += int(found[0]) + 1
+                break
+            stop += 4096
+        yield at, min(stop, len(data))
+        at = stop
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of a slice, and where each document's words begin in these arrays."""
+    if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+        parts = []
+        for lo, hi in stretches(data, separator):
+            start, end, _ = word_spans(data[lo:hi], np.array([0, hi - lo]), separator)
+            parts.append((range_hash(prefix_hash(data[lo:hi]), start, end), start + lo, end + lo))
+        hashed, start, end = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        return hashed, start, end, np.array([0, len(start)])
+    start, end, by_doc = word_spans(data, offsets, separator)
+    return range_hash(prefix_hash(data), start, end), start, end, by_doc
+
+
 def gram_owner(word_offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the first words of all k-grams that stay in one document, and offsets by document."""
     n = np.maximum(np.diff(word_offsets) - k + 1, 0)

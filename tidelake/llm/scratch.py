@@ -89,7 +89,3 @@ def discard(df: DataFrame) -> None:
     for made in _OPEN:
         if df in made:
             made.remove(df)
-
-
-def release(df: DataFrame) -> None:
-    """Nothing is left to release: shuffle files go with their execution."""
