@@ -227,7 +227,7 @@ class Bpe:
 
     def encode_column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids, offsets) of consecutive slices of a text column."""
-        for lo, hi, data, offsets in slices(texts, 2 << 20):
+        for lo, hi, data, offsets in slices(texts, 1 << 18):
             yield lo, hi, *self.encode_slice(data, offsets)
 
 

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import LOWER, WHITESPACE, gram_hash, mix, prefix_hash, range_hash, slices, word_spans
+from .bytescan import LOWER, WHITESPACE, gram_hash, mix, slices, word_hashes
 from .components import components
-from .scratch import materialize
+from .scratch import discard, materialize, passing
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -65,11 +65,8 @@ def superminhash(elements: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarra
     return sig.reshape(n_docs, m)
 
 
-def _shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _shingle_sets(hashed: np.ndarray, by_doc: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles of each document, sorted, and their offsets."""
-    data = LOWER[data]
-    start, end, by_doc = word_spans(data, offsets, WHITESPACE)
-    hashed = range_hash(prefix_hash(data), start, end)
     grams = gram_hash(hashed, words)
     sets = []
     for a, b in zip(by_doc[:-1], by_doc[1:], strict=True):
@@ -81,11 +78,26 @@ def _shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np
     return np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
 
 
+def _word_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, by_doc: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A digest of each document's words, one space between them."""
+    keep = ~WHITESPACE[data]
+    between = np.ones(len(end), bool)
+    between[by_doc[1:][by_doc[1:] > by_doc[:-1]] - 1] = False
+    keep[end[between]] = True
+    plain = data.copy()
+    plain[end[between]] = 0x20
+    plain = plain[keep]
+    at = np.concatenate(([0], np.cumsum(keep)))[offsets]
+    return [hashlib.blake2b(plain[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _signer(words: int, bands: int, rows: int):
     def sign(batches):
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(1)):
-                elements, by_doc = _shingle_sets(data, offsets, words)
+                data = LOWER[data]
+                hashed, start, end, word_at = word_hashes(data, offsets, WHITESPACE)
+                elements, by_doc = _shingle_sets(hashed, word_at, words)
                 sig = superminhash(elements, by_doc, bands * rows).reshape(hi - lo, bands, rows)
                 keys = np.repeat(mix(np.arange(bands, dtype=_U))[None, :], hi - lo, 0)
                 for r in range(rows):
@@ -93,7 +105,8 @@ def _signer(words: int, bands: int, rows: int):
                 n = np.diff(by_doc)
                 marks = [hashlib.blake2b(elements[a:b].tobytes(), digest_size=16).digest() for a, b in zip(by_doc[:-1], by_doc[1:], strict=True)]
                 keyed = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n.astype(np.int64)), pa.array(marks, pa.binary()), keyed], ["id", "n_shingles", "mark", "keys"])
+                texts = _word_digests(data, start, end, word_at, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n.astype(np.int64)), pa.array(marks, pa.binary()), pa.array(texts, pa.binary()), keyed], ["id", "n_shingles", "mark", "words", "keys"])
 
     return sign
 
@@ -138,7 +151,8 @@ def _shingler(words: int):
     def shingle(batches):
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(1)):
-                elements, by_doc = _shingle_sets(data, offsets, words)
+                hashed, _, _, word_at = word_hashes(LOWER[data], offsets, WHITESPACE)
+                elements, by_doc = _shingle_sets(hashed, word_at, words)
                 ids = np.repeat(batch.column(0)[lo:hi].to_numpy(), np.diff(by_doc))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(elements.view(np.int64))], ["id", "shingle"])
 
@@ -197,33 +211,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     white space) have a Jaccard similarity of ``percent`` or more. A pair of similarity s shares a
     band with probability 1 - (1 - s^rows)^bands: all but 5 in 10^8 at s = 0.8 with 32 bands of 4.
 
-    Equal sets are collapsed before banding. Each band bucket first links its members with its
-    smallest member only, so a bucket of n copies costs n pairs. Then ``_across`` looks at those
-    buckets that still hold several components, and gives every pair that could join two of them.
+    Equal sets are collapsed before banding: documents with the digest of one set are linked with the
+    first of them, after a comparison of the whole sets where their words differ. Each band bucket then
+    links its members with its smallest member only, so a bucket of n copies costs n pairs. Then
+    ``_across`` looks at those buckets that still hold several components, and gives every pair that
+    could join two of them.
 
     Defined cases: a null or wordless text has an empty set and links with nothing; fewer than
     ``words`` words make one shingle. A null id gets a null component and is kept. Rows repeated
     under one id are all returned and share a component. Columns other than the two named are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_signer(words, bands, rows), "id long, n_shingles long, mark binary, keys array<long>"), "signatures")
-    full = signed.where("n_shingles > 0 and id is not null")
-    first = full.groupBy("mark").agg(F.min("id").alias("a"))
-    same = full.select("id", "mark").join(first, "mark").where("id <> a").select("a", F.col("id").alias("b"))
-    links = materialize(same, "equal-sets")
-    alone = full.join(first.select(F.col("a").alias("id"), "mark"), ["id", "mark"], "left_semi")
-    buckets = materialize(alone.select("id", F.explode("keys").alias("key")).distinct(), "buckets")
-    centre = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = materialize(buckets.join(centre, "key"), "shared-buckets")
-    links = links.union(_linked(docs, shared.where("id <> a").select("a", F.col("id").alias("b")), words, percent))
-    groups = components(links)
-    pairs = _across(docs, shared, groups, words, percent, rare)
-    if pairs is not None:
-        links = links.union(_linked(docs, pairs, words, percent))
+    with passing() as made:
+        signed = materialize(docs.mapInArrow(_signer(words, bands, rows), "id long, n_shingles long, mark binary, words binary, keys array<long>"), "signatures")
+        full = signed.where("n_shingles > 0 and id is not null")
+        first = full.groupBy("mark").agg(F.min(F.struct("id", "words")).alias("first"), F.count("*").alias("n"))
+        first = materialize(first.where("n > 1").selectExpr("mark", "first.id as a", "first.words as as_a"), "equal-sets")
+        few = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
+        known = full.join(few, "mark", "left")
+        same = known.where("id <> a")
+        links = materialize(same.where("words = as_a").select("a", F.col("id").alias("b")), "equal-words")
+        links = links.union(_linked(docs, same.where("words <> as_a").select("a", F.col("id").alias("b")), words, percent))
+        alone = known.where("a is null or id = a")
+        buckets = materialize(alone.select("id", F.explode("keys").alias("key")).distinct(), "buckets")
+        centre = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+        shared = materialize(buckets.join(centre, "key"), "shared-buckets")
+        discard(buckets)
+        links = links.union(_linked(docs, shared.where("id <> a").select("a", F.col("id").alias("b")), words, percent))
         groups = components(links)
-    out = signed.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
+        pairs = _across(docs, shared, groups, words, percent, rare)
+        if pairs is not None:
+            links = links.union(_linked(docs, pairs, words, percent))
+            groups = components(links)
+        out = signed.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left")
+        component = F.coalesce("component", "id")
+        out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
+        out = materialize(out, "near-duplicates")
+        made.remove(out)
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

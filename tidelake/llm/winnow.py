@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import LOWER, NON_ALNUM, gram_hash, gram_owner, prefix_hash, range_hash, slices, word_spans
+from .bytescan import LOWER, NON_ALNUM, gram_hash, gram_owner, slices, word_hashes
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Benchmark text that one index may hold; larger benchmarks are searched for in several blocks.
@@ -64,8 +64,7 @@ class Index:
         data = np.frombuffer(self.line, np.uint8)
         offsets = np.cumsum([0, *(len(line) + 1 for _, line in lines)])
         offsets[-1] = len(data)
-        self.start, self.end, by_item = word_spans(data, offsets, NON_ALNUM)
-        hashed = range_hash(prefix_hash(data), self.start, self.end)
+        hashed, self.start, self.end, by_item = word_hashes(data, offsets, NON_ALNUM)
         sizes = np.diff(by_item)
         self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in {span, *sizes[sizes < span].tolist()}:
@@ -113,8 +112,7 @@ def _matcher(index):
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(1)):
                 data = LOWER[data]
-                start, end, by_doc = word_spans(data, offsets, NON_ALNUM)
-                hashed = range_hash(prefix_hash(data), start, end)
+                hashed, start, end, by_doc = word_hashes(data, offsets, NON_ALNUM)
                 spans, items = defaultdict(list), defaultdict(set)
                 for size, at in block.candidates(hashed, by_doc).items():
                     if not len(at):
