@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, passing
 
+#: Frequent lines that may be sent to every executor as a hash table.
+BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -17,7 +19,8 @@ _SYMBOLS = "#*$%&|<>"
 
 def words(text: Column) -> Column:
     """Runs of anything but ASCII white space."""
-    return F.filter(F.split(F.translate(text, _SPACES, " " * 6), " "), lambda w: w != "")
+    inner = F.btrim(text, F.lit(_SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
 def plain_line(line: Column) -> Column:
@@ -35,12 +38,8 @@ def normal_line(line: Column) -> Column:
     return F.btrim(F.regexp_replace(plain_line(line), " {2,}", " "))
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def _has_word(line: Column) -> Column:
-    return F.length(_without(line, _SPACES)) > 0
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _shift(value: Column, bits: Column, left: bool) -> Column:
@@ -50,18 +49,23 @@ def _shift(value: Column, bits: Column, left: bool) -> Column:
 def base_stats(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to rows with a ``text``.
 
-    Repeated words are those inside 3-word windows that occur twice or more. Each window becomes one
-    long, hash bits above and position below, so that sorting plain longs brings equal windows
-    together; neighbours are then compared word by word. A repeated window adds no more words than
-    its distance to the next one, so overlaps count once.
+    Repeated words are those inside 3-word windows that occur twice or more. Only texts in which two
+    windows have one 64-bit hash are looked at further: there each window becomes one long, hash bits
+    above and position below, so that sorting plain longs brings equal windows together; neighbours
+    are then compared word by word. (Two repeated windows whose cut hashes are equal could lie
+    interleaved and be missed; a text of a million words leaves 44 bits of hash.) A repeated window
+    adds no more words than its distance to the next one, so overlaps count once.
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), _has_word)
     out = docs.select("*", words(text).alias("_w"), lines.alias("_lines"))
+    windows = F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0)))
+    out = out.withColumn("_h", F.transform(windows, lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2))))
     out = out.withColumn("_bits", F.length(F.bin(F.size("_w").cast("long"))).cast("int"))
-    bits, windows = F.col("_bits"), F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0)))
-    code = lambda x, i: _shift(F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)), bits, True).bitwiseOR(i.cast("long"))
-    out = out.withColumn("_coded", F.sort_array(F.transform(windows, code)))
+    bits = F.col("_bits")
+    alone = F.size(F.array_distinct("_h")) == F.size("_h")
+    coded = F.sort_array(F.transform("_h", lambda x, i: _shift(x, bits, True).bitwiseOR(i.cast("long"))))
+    out = out.withColumn("_coded", F.when(alone, F.array().cast("array<bigint>")).otherwise(coded))
     at = lambda c: c.bitwiseAND(_shift(F.lit(1).cast("long"), bits, True) - 1).cast("int")
 
     def same(a: Column, b: Column) -> Column:
@@ -77,8 +81,8 @@ def base_stats(docs: DataFrame) -> DataFrame:
     return out.select(
         *docs.columns,
         F.size("_w").cast("long").alias("n_words"),
-        F.length(_without(text, _SPACES)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, _SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{_SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
     )
@@ -90,25 +94,27 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("mark"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"))
 
 
-def removed_lines(docs: DataFrame, min_docs: int, percent: int, enough: int | None = None) -> DataFrame:
-    """(doc_id, mark, line_hash, n words, occurrences) of the lines that ``keyed`` documents lose.
+def removed_lines(docs: DataFrame, min_docs: int = 5, percent: int = 10, enough: int = 50) -> DataFrame:
+    """(doc_id, mark, line_hash, n words) of the lines that ``keyed`` documents lose.
 
     A line counts once for each distinct text of its host, so exact copies are one document. It is
-    above the limits where more than ``min_docs`` and more than ``percent`` of the host's distinct
-    texts have it, or, where ``enough`` is given, more than ``enough`` of them whatever the size of the
-    host; the document with the smallest id keeps it, so that no content is lost altogether. Counts are combined before each shuffle, and the joined side has one row for each
-    frequent line, however many documents hold it.
+    above the limits where more than ``min_docs`` of the host's distinct texts have it and these are
+    more than ``percent`` percent of them, or more than ``enough``, so that a large host is not held
+    to less than a small one. Counts are combined before each shuffle, and the joined side has one
+    row for each frequent line, however many documents hold it.
     """
-    text = F.coalesce("text", F.lit(""))
-    line = docs.select("doc_id", "mark", "host", F.explode(F.split(text, "\n")).alias("line")).where(_has_word(F.col("line")))
-    line = line.select("doc_id", "mark", "host", F.xxhash64(normal_line(F.col("line"))).alias("line_hash"), F.size(words(F.col("line"))).cast("long").alias("n"))
-    line = materialize(line.groupBy("host", "line_hash", "mark", "doc_id").agg(F.sum("n").alias("n")), "host-lines")
-    texts = docs.select("host", "mark").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    owner = line.groupBy("host", "line_hash", "mark").agg(F.min("doc_id").alias("first_doc"))
-    count = owner.groupBy("host", "line_hash").agg(F.count("*").alias("n_docs"), F.min("first_doc").alias("first_doc"))
-    share = 100 * F.col("n_docs") > percent * F.col("host_docs")
-    hot = count.where(F.col("n_docs") > min_docs).join(texts, "host").where(share if enough is None else share | (F.col("n_docs") > enough))
-    return line.join(hot.select("host", "line_hash", "first_doc"), ["host", "line_hash"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("doc_id", "mark", "line_hash", "n")
+    every = F.posexplode_outer(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.xxhash64(squeezed(plain_line(x))).alias("hash"), F.size(words(x)).alias("n")))).alias("pos", "line")
+    line = docs.select("doc_id", "mark", "host", every).where("line.n > 0").select("doc_id", "mark", "host", F.col("line.hash").alias("line_hash"), F.col("line.n").cast("long").alias("n"))
+    with passing() as made:
+        line = materialize(line.groupBy("host", "line_hash", "mark", "doc_id").agg(F.sum("n").alias("n")), "host-lines")
+        texts = docs.select("host", "mark").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+        count = line.select("host", "line_hash", "mark").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+        hot = count.join(texts, "host").where((100 * F.col("n_docs") > percent * F.col("host_docs")) | (F.col("n_docs") > enough)).select("host", "line_hash")
+        hot = materialize(hot, "hot-lines")
+        few = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+        out = materialize(line.join(few, ["host", "line_hash"], "left_semi").select("doc_id", "mark", "line_hash", "n"), "removed-lines")
+        made.remove(out)
+    return out
 
 
 def _join_marked(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -117,36 +123,39 @@ def _join_marked(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").drop("_id", "_mark")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, percent: int = 10, min_left: int = 30, min_words: int = 50, max_repeat: int = 50, lost: DataFrame | None = None, enough: int | None = None) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_left: int = 30, min_words: int = 50, max_repeat: int = 50, lost: DataFrame | None = None, **limits: int) -> DataFrame:
     """One row per document: id, base statistics, n_removed_words, base_failed and kept.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat`` percent of them
-    repeated. A document that passes is rejected as depleted when less than ``min_left`` percent of
-    its words are left without the lines that ``removed_lines`` takes from it.
+    repeated. A document that passes is rejected as depleted when, without the lines that
+    ``removed_lines`` takes from it, fewer than ``min_words`` words or less than ``min_left`` percent
+    of its words are left.
 
     Defined cases: a null text has no words (and fails); a null host is the host ""; rows repeated
     under one id are judged each; rows with a null id are told apart by their text. Only the three
-    named columns are read. ``lost`` is what ``removed_lines`` gives, where that is known already.
+    named columns are read. ``lost`` is what ``removed_lines`` gives, where that is known already;
+    ``limits`` are its limits.
     """
     docs = keyed(docs, id_col, text_col, host_col)
-    lost = removed_lines(docs, min_docs, percent, enough) if lost is None else lost
+    lost = removed_lines(docs, **limits) if lost is None else lost
     lost = lost.groupBy("doc_id", "mark").agg(F.sum("n").alias("n_removed_words"))
     out = _join_marked(base_stats(docs).drop("text", "host"), lost)
     n, removed = F.col("n_words"), F.coalesce("n_removed_words", F.lit(0))
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat * n)
+    depleted = (n - removed < min_words) | (100 * (n - removed) < min_left * n)
     return out.select(
         F.col("doc_id").alias(id_col), "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.cast("long").alias("n_removed_words"),
-        failed.alias("base_failed"), (~failed & (100 * (n - removed) >= min_left * n)).alias("kept"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
     )
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, percent: int = 10, enough: int | None = None, **limits: int) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", judging: dict[str, int] | None = None, **limits: int) -> DataFrame:
     """The documents that ``judge`` keeps, all their columns, without the lines above the limits."""
     read = keyed(docs, id_col, text_col, host_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0).cast("long")).alias("mark"))
-    gone = materialize(removed_lines(read, min_docs, percent, enough), "removed-lines")
+    gone = removed_lines(read, **limits)
     # a table in between, as a filter pushed below the statistics would repeat their expressions
-    verdicts = materialize(judge(docs, id_col, text_col, host_col, min_docs, percent, lost=gone, **limits), "verdicts")
+    verdicts = materialize(judge(docs, id_col, text_col, host_col, lost=gone, **(judging or {})), "verdicts")
     kept = verdicts.where("kept").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
     packed = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
     lost = gone.groupBy("doc_id", "mark").agg(F.collect_set("line_hash").alias("_lost"))

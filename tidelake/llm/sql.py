@@ -77,10 +77,10 @@ WITH d AS (
 ), hosts AS (
   SELECT host, count(DISTINCT coalesce(text, chr(0))) AS host_docs FROM d GROUP BY host
 ), hot AS (
-  SELECT host, norm, count(DISTINCT text) AS n_docs, min(doc_id) AS first_doc FROM line GROUP BY host, norm
+  SELECT host, norm, count(DISTINCT text) AS n_docs FROM line GROUP BY host, norm
 ), lost AS (
   SELECT line.doc_id, sum(n) AS n_lost FROM line JOIN hot USING (host, norm) JOIN hosts USING (host)
-  WHERE n_docs > 5 AND 100 * n_docs > 10 * host_docs AND line.doc_id <> first_doc GROUP BY line.doc_id
+  WHERE n_docs > 5 AND (100 * n_docs > 10 * host_docs OR n_docs > 50) GROUP BY line.doc_id
 ), s AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
     length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
@@ -89,7 +89,7 @@ WITH d AS (
   FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN lost ON d.doc_id = lost.doc_id
 )
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed_words) >= 30 * n_words AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 50 AND 100 * (n_words - n_removed_words) >= 30 * n_words AS kept
 FROM s
 """
 
