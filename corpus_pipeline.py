@@ -17,9 +17,6 @@ from tidelake.llm.queries import tokenizer
 from tidelake.runtime import ship
 
 
-#: Distinct texts of a source beyond which a line is frequent at any size: 10 % of 500, so that larger sources aren't held to less.
-ENOUGH = 50
-
 #: What near-dedup takes as copies; line dedup spares the same ones.
 NEAR = {"words": 5, "percent": 80}
 
@@ -33,7 +30,7 @@ def _recount(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the rules; the others lose lines that too many documents of their source share."""
-    return _recount(linefreq.clean(docs, enough=ENOUGH))
+    return _recount(linefreq.clean(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), name)
+        with scratch.passing() as made:
+            docs = scratch.materialize(stage(spark, docs, sf_dir), name)
+            made.remove(docs)
+        if before is not None:
+            scratch.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
