@@ -49,4 +49,5 @@ def test_the_same_frequent_line_goes_from_small_and_large_sources(spark):
     text = f"if(id < 60 or id >= 50000, concat({line}, '\\n', {words}), {words})"
     docs = spark.range(50050).selectExpr("id as doc_id", f"{text} as text", "'en' as lang", "if(id < 50000, 'large', 'small') as source", "0L as n_chars")
     out = corpus_pipeline.quality_rules(spark, docs, "").where(f"startswith(text, {line})")
-    assert sorted(r.doc_id for r in out.collect()) == [0, 50000]
+    assert out.isEmpty()
+    assert corpus_pipeline.quality_rules(spark, docs, "").count() == 50050
