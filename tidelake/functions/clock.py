@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Layouts of timestamps in text, in the order in which they are tried.
-LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd")
+#: Layouts of times in text without a zone, in the order in which they are tried; fixed values.
+LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss")
+_ZONED = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"
+_FRACTION = r"(:\d\d)\.(\d+)$"
 
 
 def micros(time: Column) -> Column:
@@ -25,6 +27,15 @@ def epoch_bucket(time: Column, width: int) -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    """A time from nanoseconds in digits, RFC 3339 or one of ``LAYOUTS``; null where none fits."""
-    nanos = F.timestamp_micros(F.expr("try_divide(1, 1)").cast("long") * F.floor(text.try_cast("bigint") / 1000).cast("long"))
-    return F.coalesce(nanos, *[F.try_to_timestamp(text, F.lit(x)) for x in LAYOUTS]).cast("timestamp_ntz")
+    """A time from nanoseconds in digits, RFC 3339 or one of ``LAYOUTS``; null where none fits.
+
+    Seconds may have a fraction in every layout; digits beyond microseconds are cut off.
+    """
+    nanos = text.try_cast("bigint")
+    below = F.when((nanos < 0) & (nanos % 1000 != 0), 1).otherwise(0)
+    at = F.timestamp_micros(F.call_function("div", nanos, F.lit(1000)) - below)
+    zoned = F.when(text.rlike(_ZONED), text.try_cast("timestamp"))
+    plain = F.regexp_replace(text, _FRACTION, "$1")
+    layout = F.coalesce(*[F.try_to_timestamp(plain, F.lit(x)) for x in LAYOUTS])
+    part = F.rpad(F.substring(F.regexp_extract(text, _FRACTION, 2), 1, 6), 6, "0").cast("long")
+    return F.coalesce(at, zoned, F.timestamp_micros(F.unix_micros(layout) + part)).cast("timestamp_ntz")

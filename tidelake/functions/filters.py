@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 from typing import Any
 
@@ -78,3 +79,20 @@ def same_period(spec: SeriesSpec, unit: str, when: str) -> Column:
     """Times in the same year, month, day, hour, minute or second as ``when``; a range, so that files can be skipped."""
     start = F.date_trunc(unit, F.lit(when).cast("timestamp_ntz")).cast("timestamp_ntz")
     return (F.col(spec.time) >= start) & (F.col(spec.time) < start + F.expr(f"interval 1 {unit}"))
+
+
+#: Levels of time from the coarsest on, with the shortest range (microseconds) that is searched at each; fixed values.
+LEVELS = (("year", 365 * 86_400_000_000), ("month", 30 * 86_400_000_000), ("day", 86_400_000_000), ("hour", 3_600_000_000), ("minute", 60_000_000), ("second", 0))
+
+
+def period_range(spec: SeriesSpec, start: str, end: str, include_start: bool = True, include_end: bool = True) -> Column:
+    """Times in the periods from that of ``start`` to that of ``end``.
+
+    The longer the range, the longer the periods: see ``LEVELS``. A period that is not included goes
+    whole. The comparisons are on the time itself, so that files can be skipped.
+    """
+    first, last = (dt.datetime.fromisoformat(x) for x in (start, end))
+    span = (last - first) // dt.timedelta(microseconds=1)
+    unit = next(name for name, least in LEVELS if span >= least or name == "second")
+    at = lambda x, more: F.date_trunc(unit, F.lit(x)).cast("timestamp_ntz") + F.expr(f"interval {more} {unit}")
+    return (F.col(spec.time) >= at(first, int(not include_start))) & (F.col(spec.time) < at(last, int(include_end)))

@@ -11,6 +11,8 @@ from ..spec import SeriesSpec, duration
 from .series import _smoothing, ema
 
 _HOUR = 3_600_000_000
+#: Times are taken since 2020, so that their squares keep their digits.
+_SINCE = 1_577_836_800_000_000
 
 
 def forecast(df: DataFrame, spec: SeriesSpec, field: str, method: str = "linear", horizon: int = 10, interval: str | int = 0, history: int = 0, alpha: float = 0.2, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -18,31 +20,33 @@ def forecast(df: DataFrame, spec: SeriesSpec, field: str, method: str = "linear"
 
     Rows are ``interval`` apart, by default the series' mean spacing (an hour for one row). The line
     is fitted to the last ``history`` values (0: all) and read at steps of the history's own mean
-    spacing. Everything is an aggregate with a partial step, then ``horizon`` rows for each series.
+    spacing. All of it is one aggregate with a partial step (and a sort where ``history`` is given),
+    then ``horizon`` rows for each series.
     """
     horizon = horizon if horizon > 0 else 10
     keys = list(partition_by)
     rows = df.select(*dict.fromkeys((*keys, *spec.tags, *spec.order)), micros(F.col(spec.time)).alias("_t"), number(df, field).alias("_v")).where("_v is not null")
     tags = [t for t in spec.tags if t not in keys]
-    recent = rows
+    order = F.struct(*spec.order)
+    used = F.col("_used")
     if history > 0:
         back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in spec.order])
-        recent = rows.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= history)
-    order = F.struct(*spec.order)
-    whole = rows.groupBy(*keys).agg(F.min("_t").alias("_t0"), F.max("_t").alias("_tn"), F.count("*").alias("_n"), *[F.max_by(t, order).alias(t) for t in tags])
-    part = recent.groupBy(*keys).agg(F.min("_t").alias("_h0"))
-    on = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] or F.lit(True)
-    based = recent.alias("a").join(F.broadcast(part.alias("b")) if not keys else part.alias("b"), on("a", "b")).select("a.*", "b._h0")
-    x = ((F.col("_t") - F.col("_h0")) / 1e6).alias("_x")
-    fit = based.withColumn("_x", x).groupBy(*keys).agg(
-        F.regr_slope("_v", "_x").alias("_slope"), F.regr_intercept("_v", "_x").alias("_cut"), F.avg("_v").alias("_mean"), F.max("_x").alias("_xn"), F.count("*").alias("_hn"), F.max_by("_v", order).alias("_last")
+        rows = rows.withColumn("_used", F.row_number().over(back) <= history)
+    else:
+        rows = rows.withColumn("_used", F.lit(True))
+    # the line goes through the means, so one pass with times since a fixed moment gives all of it
+    t, x, v = F.when(used, F.col("_t")), F.when(used, (F.col("_t") - _SINCE) / 1e6), F.when(used, F.col("_v"))
+    out = rows.groupBy(*keys).agg(
+        F.min("_t").alias("_t0"), F.max("_t").alias("_tn"), F.count("*").alias("_n"), *[F.max_by(c, order).alias(c) for c in tags],
+        F.regr_slope(v, x).alias("_slope"), F.avg(v).alias("_mean"), F.avg(x).alias("_xmean"), ((F.max(t) - F.min(t)) / 1e6).alias("_xn"), ((F.max(t) - _SINCE) / 1e6).alias("_end"), F.count(v).alias("_hn"), F.max_by("_v", order).alias("_last"),
     )
-    out = whole.alias("a").join(fit.alias("b"), on("a", "b")).select("a.*", *[F.col(f"b.{c}") for c in fit.columns if c not in keys])
+    out = out.where("_n > 0")
     if method == "ses":
-        smooth = ema(recent.withColumnRenamed("_v", field), spec, field, _smoothing(alpha), partition_by).groupBy(*keys).agg(F.max_by(f"{field}_ema", order).alias("_level"))
-        out = out.alias("a").join(smooth.alias("b"), on("a", "b")).select("a.*", "b._level")
+        on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] or F.lit(True)
+        smooth = ema(rows.where("_used").withColumnRenamed("_v", field), spec, field, _smoothing(alpha), partition_by).groupBy(*keys).agg(F.max_by(f"{field}_ema", order).alias("_level"))
+        out = out.alias("a").join(smooth.alias("b"), on).select("a.*", "b._level")
     step = F.lit(duration(interval)) if duration(interval) > 0 else F.when(F.col("_n") > 1, F.expr("(_tn - _t0) div (_n - 1)")).otherwise(F.lit(_HOUR))
     out = out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("_step", step)
-    line = F.when(F.col("_hn") < 2, F.col("_last")).otherwise(F.col("_slope") * (F.col("_xn") + F.col("_i") * F.col("_xn") / (F.col("_hn") - 1)) + F.col("_cut"))
+    line = F.when(F.col("_hn") < 2, F.col("_last")).otherwise(F.col("_slope") * (F.col("_end") - F.col("_xmean") + F.col("_i") * F.col("_xn") / (F.col("_hn") - 1)) + F.col("_mean"))
     value = {"average": F.col("_mean"), "ses": F.col("_level") if method == "ses" else None}.get(method, line)
     return out.select(*keys, *tags, moment(F.col("_tn") + F.col("_i") * F.col("_step")).alias(spec.time), value.alias(field), F.lit("true").alias("_forecast"))

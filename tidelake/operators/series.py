@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.accumulators import number, percentile_rank
 from ..functions.clock import micros, moment
 from ..runtime import ship
 from ..spec import SeriesSpec, duration
-from .windows import _since_first
+from .ordered import following, n_ranges, ranged
+from .windows import _since_first, counted
 
 METHODS = ("linear", "previous", "next", "zero")
 
@@ -19,70 +21,81 @@ def _smoothing(alpha: float) -> float:
     return alpha if 0 < alpha <= 1 else 0.2
 
 
-def interpolate(df: DataFrame, spec: SeriesSpec, field: str, resolution: str | int = "1m", max_gap: str | int = 0, method: str = "linear", partition_by: tuple[str, ...] = ()) -> DataFrame:
+def interpolate(df: DataFrame, spec: SeriesSpec, field: str, resolution: str | int = "1m", max_gap: str | int = 0, method: str = "linear", partition_by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """All rows (columns time, partition keys, tags, field) and the points set into gaps between them.
 
     A gap of n resolutions gets n - 1 points that carry the tags of the row before; ``linear`` goes
     by the point's number among n. Gaps up to ``resolution``, or above ``max_gap`` where that is
-    not 0, are left.
+    not 0, are left. A series is worked on in ``ranges`` of time, by default one for each key, and
+    one a shuffle partition where there are no keys.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     r, most = duration(resolution), duration(max_gap)
     keys = [c for c in dict.fromkeys((*partition_by, *spec.tags))]
-    order = Window.partitionBy(*partition_by).orderBy(*spec.order)
     out = df.select(*keys, spec.time, *spec.tiebreak, micros(F.col(spec.time)).alias("_t"), number(df, field).alias("_v"))
-    out = out.withColumn("_gap", F.lead("_t").over(order) - F.col("_t")).withColumn("_next", F.lead("_v").over(order))
+    n = n_ranges(df, partition_by, ranges)
+    out = following(ranged(out, spec, n), spec, ["_t", "_v"], partition_by, n)
+    out = out.withColumn("_gap", F.col("_next__t") - F.col("_t")).withColumnRenamed("_next__v", "_next")
     fits = (F.col("_gap") > r) & F.col("_v").isNotNull() & F.col("_next").isNotNull()
     if most:
         fits = fits & (F.col("_gap") <= most)
     out = out.withColumn("_n", F.when(fits, F.floor(F.col("_gap") / r)).otherwise(F.lit(1)).cast("long"))
-    out = out.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    out = counted(out, "_j", F.col("_n"))
     own, share = F.col("_j") == 0, F.col("_j") / F.col("_n")
     value = {"linear": F.col("_v") + share * (F.col("_next") - F.col("_v")), "previous": F.col("_v"), "next": F.col("_next"), "zero": F.lit(0.0)}[method]
     return out.select(*keys, moment(F.col("_t") + F.col("_j") * r).alias(spec.time), F.when(own, F.col("_v")).otherwise(value).alias(field), (~own).alias("inserted"))
 
 
-def ema(df: DataFrame, spec: SeriesSpec, field: str, alpha: float = 0.2, partition_by: tuple[str, ...] = (), chunk: str | int = "1d") -> DataFrame:
+def _folder(a: float, from_zero: bool):
+    """Smooths sorted rows; a series or range begins where _i is 1. One value is all that is carried on."""
+
+    def fold(batches):
+        e = 0.0
+        for batch in batches:
+            out = []
+            for v, i in zip(batch.column("_v").to_pylist(), batch.column("_i").to_pylist(), strict=True):
+                if i == 1:
+                    e = a * v if from_zero else v
+                else:
+                    e += a * (v - e)
+                out.append(e)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "_e"])
+
+    return fold
+
+
+def ema(df: DataFrame, spec: SeriesSpec, field: str, alpha: float = 0.2, partition_by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """Exponential average over (time, tiebreak): the first value, then alpha v + (1 - alpha) e.
 
-    A series is folded in chunks of time that are smoothed in parallel. Smoothing is linear: a chunk's results are
-    those from a start of 0 plus (1 - alpha)^i times the value before it, so each chunk gives an end
-    and a factor, the chunks' starts follow from those few rows, and only then are points added up.
-    No task holds a series, however long; chunk rows are one for each chunk.
+    Rows are sorted once and stream through a task in Arrow batches. A series may be cut into
+    ``ranges`` of time, by default one for each key and one a shuffle partition without keys.
+    Smoothing is linear: a range's results are those from a start of 0 plus (1 - alpha)^i times the
+    value before it, so each range gives an end and a factor, the ranges' starts follow from those
+    few rows, and only then are points added up.
     """
     ship(df.sparkSession)
-    a, w = _smoothing(alpha), duration(chunk)
+    a, n = _smoothing(alpha), n_ranges(df, partition_by, ranges)
     keys = list(partition_by)
     points = df.select(*dict.fromkeys((*keys, *spec.tags, spec.time, *spec.tiebreak)), number(df, field).alias("_v")).where("_v is not null")
-    points = points.withColumn("_chunk", F.floor(micros(F.col(spec.time)) / w))
-    order = list(spec.order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields) + ", _e double, _i long"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        zero = pd.concat([pd.Series([0.0]), rows["_v"]], ignore_index=True)
-        rows["_e"] = zero.ewm(alpha=a, adjust=False).mean().iloc[1:].to_numpy()
-        rows["_i"] = range(1, len(rows) + 1)
-        return rows
-
-    folded = points.groupBy(*keys, "_chunk").applyInPandas(fold, schema)
-    ends = folded.groupBy(*keys, "_chunk").agg(F.max_by("_e", "_i").alias("_end"), F.max("_i").alias("_n"), F.min_by("_v", "_i").alias("_first"))
-    seeds_schema = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys) + ", " * bool(keys) + "_chunk long, _seed double"
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_chunk")
-        seeds, last = [], float(rows["_first"].iloc[0]) if len(rows) else 0.0
-        for end, n in zip(rows["_end"], rows["_n"], strict=True):
-            seeds.append(last)
-            last = end + (1 - a) ** n * last
-        return rows[[*keys, "_chunk"]].assign(_seed=seeds)
-
-    seeds = ends.groupBy(*keys).applyInPandas(chain, seeds_schema) if keys else ends.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(chain, seeds_schema)
-    on = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, "_chunk")]
-    joined = folded.alias("p").join(seeds.alias("s"), on).select("p.*", "s._seed")
+    points = ranged(points, spec, n).withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_r").orderBy(*spec.order)))
+    schema = StructType([*points.schema.fields, StructField("_e", DoubleType())])
+    folded = points.mapInArrow(_folder(a, n > 1), schema)
+    if n == 1:
+        return folded.withColumnRenamed("_e", f"{field}_ema").drop("_v", "_r", "_i")
+    ends = folded.groupBy(*keys, "_r").agg(F.max_by("_e", "_i").alias("end"), F.pow(F.lit(1 - a), F.max("_i")).alias("factor"), F.min_by("_v", "_i").alias("first"))
+    # at most MOST ranges for each key
+    chain = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_r", "end", "factor", "first"))).alias("_c"))
+    start = F.struct(F.get("_c", F.lit(0))["first"].alias("seed"), F.lit(None).cast("array<struct<_r:int,_seed:double>>").alias("seeds"))
+    step = lambda s, x: F.struct(
+        (x["end"] + x["factor"] * s["seed"]).alias("seed"),
+        F.concat(F.coalesce(s["seeds"], F.array().cast("array<struct<_r:int,_seed:double>>")), F.array(F.struct(x["_r"].alias("_r"), s["seed"].alias("_seed")))).alias("seeds"),
+    )
+    seeds = chain.select(*keys, F.explode(F.aggregate("_c", start, step)["seeds"]).alias("_s")).select(*keys, "_s._r", "_s._seed")
+    on = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, "_r")]
+    joined = folded.alias("p").join((seeds if keys else F.broadcast(seeds)).alias("s"), on).select("p.*", "s._seed")
     value = F.col("_e") + F.pow(F.lit(1 - a), F.col("_i")) * F.col("_seed")
-    return joined.withColumn(f"{field}_ema", value).drop("_chunk", "_e", "_i", "_v", "_seed")
+    return joined.withColumn(f"{field}_ema", value).drop("_r", "_e", "_i", "_v", "_seed")
 
 
 def percentile_windows(df: DataFrame, spec: SeriesSpec, field: str, p: float, width: str | int = 0, partition_by: tuple[str, ...] = ()) -> DataFrame:

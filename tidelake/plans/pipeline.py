@@ -20,7 +20,7 @@ def _name(path: str) -> str:
 
 def _accumulator(df: DataFrame, spec: SeriesSpec, document: dict[str, Any]) -> Column:
     ((operator, argument),) = document.items()
-    if operator == "$count":
+    if operator == "$count" and not (isinstance(argument, str) and argument.startswith("$")):
         return F.count("*")
     if isinstance(argument, (int, float)) and operator == "$sum":
         return F.sum(F.lit(argument))
@@ -46,6 +46,7 @@ def _sort(body: dict[str, int]) -> list[Column]:
 def aggregate(df: DataFrame, spec: SeriesSpec, stages: list[dict[str, Any]]) -> DataFrame:
     """$match, $group, $sort, $skip, $limit, $project, $count and $timeWindow, in the order given.
 
+    ``{"$count": "$x"}`` counts the rows that have x, ``{"$count": {}}`` all rows.
     A group key that a row lacks is a group of its own (null). Without keys there is one row, also
     for no input. Aggregates are partial before the shuffle; $sort with $limit keeps only the top rows.
     """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import accumulators as acc
-from .functions import filters
+from .functions import filters, hashes
 from .functions.clock import parse_time
 from .operators import detect, forecast, series, windows
+from .plans import requests
 from .plans.pipeline import Find, aggregate
+from .runtime import ship
 from .sources import store
 from .spec import SeriesSpec
 from .streaming import continuous
@@ -28,15 +28,11 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
-#: Added before rounding, as engines round ties of doubles differently.
-_OFF_TIES = 0.0000012345678
-
-
 def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         _queries[name] = f
         if sql:
-            _sql[name] = sql.replace(", 4)", f" + {_OFF_TIES:.13f}, 4)")
+            _sql[name] = sql
         return f
 
     return keep
@@ -60,14 +56,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) + _OFF_TIES, 4) for c in columns})
+    """Computed doubles to six digits, as sums of doubles depend on their order beyond."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """An unused path below the folder that spark.checkpoint.dir names, or below a temporary one in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    base = base or "file://" + os.path.join(tempfile.gettempdir(), "tidelake")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """An unused path that all executors share, below spark.checkpoint.dir or else the warehouse; removed when the application ends."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/tidelake-{label}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
@@ -116,6 +112,8 @@ _FILTERS: dict[str, tuple[dict, str]] = {
     "filter_contains": ({"tags.event_type": {"$contains": "%ur%"}}, "contains(event_type, 'ur')"),
     "filter_regex": ({"tags.event_type": {"$regex": "^(pur|sig)"}}, "regexp_matches(event_type, '^(pur|sig)')"),
     "filter_prefix": ({"tags.event_type": {"$prefix": "s"}}, "starts_with(event_type, 's')"),
+    "filter_field_eq": ({"user_id": 7}, "user_id = 7"),
+    "filter_tag_of_number": ({"tags.user_id": {"$in": [3, 4]}, "value": {"$lt": 20}}, "user_id IN (3, 4) AND value < 20"),
 }
 for _name, (_document, _where) in _FILTERS.items():
 
@@ -124,9 +122,24 @@ for _name, (_document, _where) in _FILTERS.items():
         return Find(where=_document).on(_events(spark, d), EVENTS).select("event_id", "ts", "event_type", "value")
 
 
-@_register("filter_ne", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IS DISTINCT FROM '1-URGENT'")
+_PRIORITY = "CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END"
+
+
+@_register("filter_ne", f"SELECT o_orderkey, p FROM (SELECT o_orderkey, {_PRIORITY} AS p FROM orders) WHERE p IS DISTINCT FROM '1-URGENT'")
 def _(spark, d):
-    return _table(spark, d, "orders").where(filters.differs("o_orderpriority", "1-URGENT")).select("o_orderkey", "o_orderpriority")
+    return _table(spark, d, "orders").selectExpr("o_orderkey", f"{_PRIORITY} AS p").where(filters.differs("p", "1-URGENT"))
+
+
+@_register("filter_ne_present", f"SELECT o_orderkey, p FROM (SELECT o_orderkey, {_PRIORITY} AS p FROM orders) WHERE p <> '1-URGENT'")
+def _(spark, d):
+    spec = SeriesSpec("o_orderkey", (), ("p",))
+    return Find(where={"p": {"$ne": "1-URGENT"}}).on(_table(spark, d, "orders").selectExpr("o_orderkey", f"{_PRIORITY} AS p"), spec)
+
+
+@_register("filter_time_inclusive", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate BETWEEN '1995-03-15' AND '1995-06-15'")
+def _(spark, d):
+    bounds = {"timestamp": {"$gt": "1995-03-15", "$lt": "1995-06-15"}}
+    return _table(spark, d, "orders").where(filters.compile_filter(bounds, ORDERS, inclusive=True)).select("o_orderkey", "o_orderdate")
 
 
 @_register("filter_composite_prefix", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND starts_with(o_orderpriority, '2')")
@@ -139,17 +152,42 @@ def _(spark, d):
     return _table(spark, d, "orders").where(filters.between("o_orderpriority", "2", "4-NOT SPECIFIED", include_low=False)).select("o_orderkey", "o_orderpriority")
 
 
-@_register("time_bucket_eq", "SELECT event_id, ts FROM events WHERE date_trunc('day', ts) = TIMESTAMP '2024-01-07'")
+for _unit, _when in (("year", "2024-06-01"), ("month", "2024-01-31 23:59:59"), ("day", "2024-01-07 15:30:00"), ("hour", "2024-01-07 15:30:00"), ("minute", "2024-01-07 15:30:29.5"), ("second", "2024-01-07 15:30:29.5")):
+
+    @_register(f"time_bucket_{_unit}", f"SELECT event_id, ts FROM events WHERE date_trunc('{_unit}', ts) = date_trunc('{_unit}', TIMESTAMP '{_when}')")
+    def _(spark, d, _unit=_unit, _when=_when):
+        return _events(spark, d).where(filters.same_period(EVENTS, _unit, _when)).select("event_id", "ts")
+
+
+for _level, _start, _end in (("month", "2023-12-20", "2024-01-19 12:00:00"), ("day", "2024-01-05 17:00:00", "2024-01-08 03:00:00"), ("hour", "2024-01-05 17:20:00", "2024-01-06 03:10:00"), ("minute", "2024-01-05 17:20:30", "2024-01-05 17:45:10")):
+
+    @_register(f"time_bucket_range_{_level}", f"SELECT event_id, ts FROM events WHERE date_trunc('{_level}', ts) > date_trunc('{_level}', TIMESTAMP '{_start}') AND date_trunc('{_level}', ts) <= date_trunc('{_level}', TIMESTAMP '{_end}')")
+    def _(spark, d, _start=_start, _end=_end):
+        return _events(spark, d).where(filters.period_range(EVENTS, _start, _end, include_start=False)).select("event_id", "ts")
+
+
+_LAYOUTS = {"plain": "yyyy-MM-dd HH:mm:ss", "tee": "yyyy-MM-dd'T'HH:mm:ss", "slash": "yyyy/MM/dd HH:mm:ss", "month_first": "MM/dd/yyyy HH:mm:ss", "zoned": "yyyy-MM-dd'T'HH:mm:ss'Z'"}
+_SECOND = "date_trunc('second', ts)"
+
+
+@_register("parse_timestamps", f"SELECT event_id, ts AS nanos, ts AS fraction, ts - INTERVAL 2 HOUR AS offset_zone, {', '.join(f'{_SECOND} AS {n}' for n in _LAYOUTS)}, CASE WHEN day(ts) > 12 THEN {_SECOND} END AS day_first, NULL::TIMESTAMP AS day_only FROM events")
 def _(spark, d):
-    return _events(spark, d).where(filters.same_period(EVENTS, "day", "2024-01-07 15:30:00")).select("event_id", "ts")
+    text = lambda layout: F.date_format("ts", layout)
+    nanos = F.concat(F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.lit("987"))
+    read = {"nanos": nanos, "fraction": text("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "offset_zone": text("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'"), **{n: text(x) for n, x in _LAYOUTS.items()}, "day_first": F.when(F.dayofmonth("ts") > 12, text("dd/MM/yyyy HH:mm:ss")), "day_only": text("yyyy-MM-dd")}
+    return _events(spark, d).select("event_id", *[parse_time(x).alias(n) for n, x in read.items()])
 
 
-@_register("parse_timestamps", "SELECT o_orderkey, o_orderdate AS a, o_orderdate AS b, o_orderdate AS c FROM orders")
+@_register("hash_fnv1a", "SELECT event_id, list_reduce(list_prepend(2166136261::BIGINT, [ord(c)::BIGINT FOR c IN string_split(event_type, '')]), lambda h, c: (xor(h, c) * 16777619::HUGEINT % 4294967296)::BIGINT) AS h FROM events")
 def _(spark, d):
-    o = _table(spark, d, "orders")
-    read = lambda layout: parse_time(F.date_format("o_orderdate", layout))
-    nanos = F.concat(F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("string"), F.lit("000"))
-    return o.select("o_orderkey", read("yyyy-MM-dd HH:mm:ss").alias("a"), read("MM/dd/yyyy HH:mm:ss").alias("b"), parse_time(nanos).alias("c"))
+    ship(spark)
+    return _events(spark, d).select("event_id", hashes.fnv1a(F.col("event_type")).alias("h"))
+
+
+@_register("hash_murmur3")
+def _(spark, d):
+    ship(spark)
+    return _events(spark, d).select("event_id", hashes.murmur3(F.col("props")).alias("h"), hashes.crc32(F.col("props")).alias("crc"))
 
 
 # Aggregation
@@ -160,7 +198,7 @@ def _(spark, d):
     return aggregate(_events(spark, d), EVENTS, [{"$match": {"tags.event_type": "click"}}, {"$count": "n"}])
 
 
-@_register("agg_global", "SELECT round(avg(value), 4) AS mean, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high, count(value) AS n FROM events")
+@_register("agg_global", "SELECT round(avg(value), 6) AS mean, round(sum(value), 6) AS total, min(value) AS low, max(value) AS high, count(value) AS n FROM events")
 def _(spark, d):
     body = {"_id": None, "mean": {"$avg": "$value"}, "total": {"$sum": "$value"}, "low": {"$min": "$value"}, "high": {"$max": "$value"}, "n": {"$count": "$value"}}
     return _rounded(aggregate(_events(spark, d), EVENTS, [{"$group": body}]), "mean", "total")
@@ -177,13 +215,35 @@ def _(spark, d):
     return aggregate(_events(spark, d), EVENTS, [{"$group": {"_id": None, "mean": {"$avg": "$props"}, "total": {"$sum": "$props"}, "n": {"$count": "$props"}}}])
 
 
-@_register("agg_group_tags", "SELECT user_id AS u, event_type AS kind, round(avg(value), 4) AS mean, count(*) AS n, sum(2)::BIGINT AS twice FROM events GROUP BY 1, 2")
+@_register("agg_count_present", "SELECT event_type AS kind, count(*) FILTER (value > 50) AS n_large, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    df = _events(spark, d).withColumn("large", F.when(F.col("value") > 50, F.col("value")))
+    return aggregate(df, EVENTS, [{"$group": {"_id": {"kind": "$tags.event_type"}, "n_large": {"$count": "$large"}, "n": {"$count": {}}}}])
+
+
+@_register("agg_missing_key", "SELECT CASE WHEN value > 50 THEN event_type END AS kind, sum(value > 0)::BIGINT AS n FROM events GROUP BY 1")
+def _(spark, d):
+    df = _events(spark, d).withColumn("kind", F.when(F.col("value") > 50, F.col("event_type")))
+    return aggregate(df, EVENTS, [{"$group": {"_id": {"kind": "$tags.kind"}, "n": {"$sum": 1}}}])
+
+
+@_register("agg_distinct_keys", "SELECT DISTINCT user_id AS u, event_type AS kind FROM events")
+def _(spark, d):
+    return aggregate(_events(spark, d), EVENTS, [{"$group": {"_id": {"u": "$tags.user_id", "kind": "$tags.event_type"}}}])
+
+
+@_register("find_skip_limit", "SELECT event_id, value FROM events WHERE event_type = 'view' ORDER BY value DESC, event_id LIMIT 15 OFFSET 5")
+def _(spark, d):
+    return Find(where={"tags.event_type": "view"}, sort={"value": -1, "event_id": 1}, skip=5, limit=15).on(_events(spark, d), EVENTS).select("event_id", "value")
+
+
+@_register("agg_group_tags", "SELECT user_id AS u, event_type AS kind, round(avg(value), 6) AS mean, count(*) AS n, sum(2)::BIGINT AS twice FROM events GROUP BY 1, 2")
 def _(spark, d):
     body = {"_id": {"u": "$tags.user_id", "kind": "$tags.event_type"}, "mean": {"$avg": "$value"}, "n": {"$count": {}}, "twice": {"$sum": 2}}
     return _rounded(aggregate(_events(spark, d), EVENTS, [{"$group": body}]), "mean")
 
 
-@_register("agg_group_sort_limit", "SELECT user_id AS _id, round(sum(value), 4) AS total FROM events WHERE value > 5 GROUP BY 1 ORDER BY sum(value) DESC, 1 LIMIT 10 OFFSET 2")
+@_register("agg_group_sort_limit", "SELECT user_id AS _id, round(sum(value), 6) AS total FROM events WHERE value > 5 GROUP BY 1 ORDER BY sum(value) DESC, 1 LIMIT 10 OFFSET 2")
 def _(spark, d):
     stages = [{"$match": {"value": {"$gt": 5}}}, {"$group": {"_id": "$tags.user_id", "total": {"$sum": "$value"}}}, {"$sort": {"total": -1, "_id": 1}}, {"$skip": 2}, {"$limit": 10}]
     return _rounded(aggregate(_events(spark, d), EVENTS, stages), "total")
@@ -200,7 +260,7 @@ def _(spark, d):
     return df.groupBy("event_type").agg(acc.accumulate(df, "value", "first", EVENTS).alias("first"), acc.accumulate(df, "value", "last", EVENTS).alias("last"))
 
 
-@_register("agg_percentile", "SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.95) AS p_out, round(quantile_cont(value, 0.3), 4) AS linear30, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd FROM events GROUP BY 1")
+@_register("agg_percentile", "SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.95) AS p_out, round(quantile_cont(value, 0.3), 6) AS linear30, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events GROUP BY 1")
 def _(spark, d):
     df = _events(spark, d)
     mean, sd = acc.mean_and_deviation(df, "value")
@@ -215,34 +275,34 @@ _FIRST = "make_timestamp((epoch_us(ts) - t0) // {w} * {w} + t0)"
 _E0 = "(SELECT *, (SELECT min(epoch_us(ts)) FROM events) AS t0 FROM events)"
 
 
-@_register("window_epoch", f"SELECT {_EPOCH.format(w=_H)} AS ts, round(avg(value), 4) AS value_avg, max(value) AS value_max, count(value) AS value_count FROM events GROUP BY 1")
+@_register("window_epoch", f"SELECT {_EPOCH.format(w=_H)} AS ts, round(avg(value), 6) AS value_avg, max(value) AS value_max, count(value) AS value_count FROM events GROUP BY 1")
 def _(spark, d):
     return _rounded(windows.tumbling_epoch(_events(spark, d), EVENTS, "1h", {"value": ["avg", "max", "count"]}), "value_avg")
 
 
-@_register("window_pipeline", f"SELECT {_EPOCH.format(w=7 * 24 * _H)} AS ts, event_type, round(avg(value), 4) AS value_avg FROM events GROUP BY 1, 2")
+@_register("window_pipeline", f"SELECT {_EPOCH.format(w=7 * 24 * _H)} AS ts, event_type, round(avg(value), 6) AS value_avg FROM events GROUP BY 1, 2")
 def _(spark, d):
     return _rounded(aggregate(_events(spark, d), EVENTS, [{"$timeWindow": {"window": "1w", "by": ["event_type"]}}]), "value_avg")
 
 
-@_register("window_first", f"SELECT {_FIRST.format(w=6 * _H)} AS ts, round(avg(value), 4) AS value_avg, round(sum(value), 4) AS value_sum, min(value) AS value_min FROM {_E0} GROUP BY 1")
+@_register("window_first", f"SELECT {_FIRST.format(w=6 * _H)} AS ts, round(avg(value), 6) AS value_avg, round(sum(value), 6) AS value_sum, min(value) AS value_min FROM {_E0} GROUP BY 1")
 def _(spark, d):
     return _rounded(windows.tumbling_first(_events(spark, d), EVENTS, "6h", {"value": ["avg", "sum", "min"]}), "value_avg", "value_sum")
 
 
-@_register("downsample_first", f"SELECT {_FIRST.format(w=6 * _H)} AS ts, round(avg(value), 4) AS value_avg, arg_min(user_id, ts) AS user_id, arg_min(event_type, ts) AS event_type FROM {_E0} GROUP BY 1")
+@_register("downsample_first", f"SELECT {_FIRST.format(w=6 * _H)} AS ts, round(avg(value), 6) AS value_avg, arg_min(user_id, ts) AS user_id, arg_min(event_type, ts) AS event_type FROM {_E0} GROUP BY 1")
 def _(spark, d):
     return _rounded(windows.downsample(_events(spark, d), EVENTS, "value", "6h"), "value_avg")
 
 
-@_register("downsample_epoch", f"SELECT {_EPOCH.format(w=24 * _H)} AS ts, round(avg(value), 4) AS value_avg, round(sum(value), 4) AS value_sum FROM events GROUP BY 1")
+@_register("downsample_epoch", f"SELECT {_EPOCH.format(w=24 * _H)} AS ts, round(avg(value), 6) AS value_avg, round(sum(value), 6) AS value_sum FROM events GROUP BY 1")
 def _(spark, d):
     path = shared_path(spark, "events_1d")
     windows.tumbling_epoch(_events(spark, d), EVENTS, "1d", {"value": ["avg", "sum"]}).write.parquet(path)
     return _rounded(spark.read.parquet(path), "value_avg", "value_sum")
 
 
-@_register("downsample_policy_tags", f"SELECT {_EPOCH.format(w=24 * _H)} AS l_shipdate, l_returnflag, l_linestatus, round(avg(l_quantity), 4) AS l_quantity_avg, round(avg(l_extendedprice), 4) AS l_extendedprice_avg FROM (SELECT *, l_shipdate AS ts FROM lineitem) GROUP BY 1, 2, 3")
+@_register("downsample_policy_tags", f"SELECT {_EPOCH.format(w=24 * _H)} AS l_shipdate, l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS l_quantity_avg, round(avg(l_extendedprice), 6) AS l_extendedprice_avg FROM (SELECT *, l_shipdate AS ts FROM lineitem) GROUP BY 1, 2, 3")
 def _(spark, d):
     return _rounded(windows.downsample_policy(_table(spark, d, "lineitem"), LINES, "1d"), "l_quantity_avg", "l_extendedprice_avg")
 
@@ -252,6 +312,14 @@ def _(spark, d):
     return windows.downsample_policy(_table(spark, d, "lineitem"), LINES, "1d", "count")
 
 
+_NOW = "2024-01-20 13:30:00"
+
+
+@_register("downsample_policy_due", f"SELECT {_EPOCH.format(w=24 * _H)} AS ts, user_id, event_type, round(avg(value), 6) AS value_avg FROM events WHERE ts BETWEEN TIMESTAMP '{_NOW}' - INTERVAL 241 HOUR AND TIMESTAMP '{_NOW}' - INTERVAL 1 HOUR GROUP BY 1, 2, 3")
+def _(spark, d):
+    return _rounded(windows.downsample_due(_events(spark, d), EVENTS, "1d", _NOW), "value_avg")
+
+
 for _end in ("first", "last"):
 
     @_register(f"downsample_{_end}_value", f"SELECT {_EPOCH.format(w=24 * _H)} AS ts, user_id, event_type, {_end}(value ORDER BY ts, event_id) AS value_{_end} FROM events GROUP BY 1, 2, 3")
@@ -261,25 +329,31 @@ for _end in ("first", "last"):
 
 _FILL = """
 WITH w AS (
-  SELECT event_type, (epoch_us(ts) - t0) // {w} AS k, t0, avg(value) AS v
+  SELECT event_type, (epoch_us(ts) - t0) // {w} AS k, t0, max(value) AS v
   FROM (SELECT *, min(epoch_us(ts)) OVER (PARTITION BY event_type) AS t0 FROM events) GROUP BY ALL
 ), n AS (
   SELECT *, lead(k) OVER o AS k2, lead(v) OVER o AS v2 FROM w WINDOW o AS (PARTITION BY event_type ORDER BY k)
 )
-SELECT event_type, make_timestamp(t0 + (k + j) * {w}) AS ts, round(CASE WHEN j = 0 THEN v ELSE {value} END, 4) AS value_avg, j > 0 AS filled
+SELECT event_type, make_timestamp(t0 + (k + j) * {w}) AS ts, CASE WHEN j = 0 THEN v ELSE {value} END AS value_max, j > 0 AS filled
 FROM (SELECT *, unnest(range(0, coalesce(k2 - k, 1))) AS j FROM n)
 """
-for _method, _value in (("previous", "v"), ("zero", "0"), ("linear", "v + (v2 - v) * j / (k2 - k)")):
+for _method, _value in (("previous", "v"), ("zero", "0"), ("linear", "v + j / (k2 - k) * (v2 - v)")):
 
     @_register(f"fill_{_method}", _FILL.format(w=900_000_000, value=_value))
     def _(spark, d, _method=_method):
-        out = windows.downsample(_events(spark, d), EVENTS, "value", "15m", "avg", _method, ("event_type",))
-        return _rounded(out.select("event_type", "ts", "value_avg", F.col("user_id").isNull().alias("filled")), "value_avg")
+        out = windows.downsample(_events(spark, d), EVENTS, "value", "15m", "max", _method, ("event_type",))
+        return out.select("event_type", "ts", "value_max", F.col("user_id").isNull().alias("filled"))
+
+
+@_register("fill_global", _FILL.replace("SELECT event_type, ", "SELECT ").replace("PARTITION BY event_type ORDER", "ORDER").replace("PARTITION BY event_type", "").format(w=60_000_000, value="v + j / (k2 - k) * (v2 - v)"))
+def _(spark, d):
+    out = windows.downsample(_events(spark, d), EVENTS, "value", "1m", "max", "linear", ranges=5)
+    return out.select("ts", "value_max", F.col("user_id").isNull().alias("filled"))
 
 
 @_register(
     "moving_window",
-    f"""SELECT event_type, make_timestamp(t0 + k * {_H} + {3 * _H}) AS ts, round(avg(value), 4) AS value_avg, arg_min(user_id, epoch_us(ts)) AS user_id
+    f"""SELECT event_type, make_timestamp(t0 + k * {_H} + {3 * _H}) AS ts, round(avg(value), 6) AS value_avg, arg_min(user_id, epoch_us(ts)) AS user_id
     FROM (SELECT *, unnest(range(greatest(0, s // {_H} - 5), s // {_H} + 1)) AS k FROM (SELECT *, epoch_us(ts) - t0 AS s FROM (SELECT *, min(epoch_us(ts)) OVER (PARTITION BY event_type) AS t0 FROM events)))
     GROUP BY event_type, t0, k""",
 )
@@ -287,6 +361,26 @@ def _(spark, d):
     return _rounded(windows.moving(_events(spark, d), EVENTS, "value", "6h", "1h", "avg", ("event_type",)), "value_avg")
 
 
+_MOVING = """SELECT event_type, make_timestamp(t0 + k * {s} + {half}) AS ts, {value} AS {name}, arg_min(user_id, epoch_us(ts)) AS user_id
+    FROM (SELECT *, unnest(range(greatest(0, (s - {w}) // {s} + 1), s // {s} + 1)) AS k FROM (SELECT *, epoch_us(ts) - t0 AS s FROM (SELECT *, min(epoch_us(ts)) OVER (PARTITION BY event_type) AS t0 FROM events)))
+    GROUP BY event_type, t0, k"""
+
+
+@_register("moving_window_uneven", _MOVING.replace("(s - {w}) // {s} + 1", "CASE WHEN s < {w} THEN 0 ELSE (s - {w}) // {s} + 1 END").format(s=7 * _H, w=24 * _H, half=12 * _H, value="max(value)", name="value_max"))
+def _(spark, d):
+    return windows.moving(_events(spark, d), EVENTS, "value", "24h", "7h", "max", ("event_type",))
+
+
+@_register("moving_window_first", _MOVING.replace("(s - {w}) // {s} + 1", "s // {s} - 3").format(s=6 * _H, w=24 * _H, half=12 * _H, value="arg_min(value, epoch_us(ts))", name="value_first"))
+def _(spark, d):
+    return windows.moving(_events(spark, d), EVENTS, "value", "24h", "6h", "first", ("event_type",))
+
+
+@_register("moving_request", _MOVING.replace("(s - {w}) // {s} + 1", "s // {s} - 29").format(s=60_000_000, w=1_800_000_000, half=900_000_000, value="count(value)", name="value_count"))
+def _(spark, d):
+    return requests.moving(_events(spark, d), EVENTS, "value", 30, "count", ("event_type",))
+
+
 # Consecutive points
 
 _INTERP = """
@@ -296,14 +390,24 @@ WITH n AS (
 ), m AS (
   SELECT *, CASE WHEN gap > {r} AND gap <= {g} THEN gap // {r} ELSE 1 END AS n FROM n
 )
-SELECT user_id, event_type, make_timestamp(epoch_us(ts) + j * {r}) AS ts, round(CASE WHEN j = 0 THEN value ELSE {value} END, 4) AS value, j > 0 AS inserted
+SELECT user_id, event_type, make_timestamp(epoch_us(ts) + j * {r}) AS ts, CASE WHEN j = 0 THEN value ELSE {value} END AS value, j > 0 AS inserted
 FROM (SELECT *, unnest(range(0, n)) AS j FROM m)
 """
-for _method, _value in (("linear", "value + (v2 - value) * (j / n)"), ("previous", "value"), ("next", "v2"), ("zero", "0")):
+for _method, _value in (("linear", "value + j / n * (v2 - value)"), ("previous", "value"), ("next", "v2"), ("zero", "0")):
 
     @_register(f"interpolate_{_method}", _INTERP.format(r=_H, g=10 * _H, value=_value))
     def _(spark, d, _method=_method):
-        return _rounded(series.interpolate(_events(spark, d), EVENTS, "value", "1h", "10h", _method, ("user_id",)), "value")
+        return series.interpolate(_events(spark, d), EVENTS, "value", "1h", "10h", _method, ("user_id",))
+
+
+@_register("interpolate_request", _INTERP.format(r=_H, g=10 * _H, value="value + j / n * (v2 - value)"))
+def _(spark, d):
+    return requests.interpolate(_events(spark, d), EVENTS, "value", "1h", "linear", ("user_id",))
+
+
+@_register("interpolate_global", _INTERP.replace("PARTITION BY user_id ", "").format(r=20_000_000, g=3600 * _H, value="value + j / n * (v2 - value)"))
+def _(spark, d):
+    return series.interpolate(_events(spark, d), EVENTS, "value", "20s", ranges=7)
 
 
 _EMA = """
@@ -315,12 +419,12 @@ WITH RECURSIVE s AS (
 )"""
 
 
-@_register("ema", _EMA + " SELECT user_id, event_id, round(v, 4) AS value_ema FROM e")
+@_register("ema", _EMA + " SELECT user_id, event_id, round(v, 6) AS value_ema FROM e")
 def _(spark, d):
-    return _rounded(series.ema(_events(spark, d), EVENTS, "value", 0.2, ("user_id",), chunk="1w"), "value_ema").select("user_id", "event_id", "value_ema")
+    return _rounded(series.ema(_events(spark, d), EVENTS, "value", 0.2, ("user_id",)), "value_ema").select("user_id", "event_id", "value_ema")
 
 
-@_register("ema_global", _EMA.replace("PARTITION BY user_id ORDER", "ORDER").replace("s.user_id = e.user_id AND ", "") + " SELECT event_id, round(v, 4) AS value_ema FROM e")
+@_register("ema_global", _EMA.replace("PARTITION BY user_id ORDER", "ORDER").replace("s.user_id = e.user_id AND ", "") + " SELECT event_id, round(v, 6) AS value_ema FROM e")
 def _(spark, d):
     return _rounded(series.ema(_events(spark, d), EVENTS, "value", 7.0), "value_ema").select("event_id", "value_ema")
 
@@ -346,12 +450,12 @@ def _(spark, d):
     return series.unique_violations(_events(spark, d), ["user_id", "event_type"])
 
 
-_SETS = "(SELECT DISTINCT user_id FROM events WHERE event_type = '{}')"
+_SETS = "(SELECT DISTINCT user_id FROM events WHERE event_type = '{}' AND date_trunc('day', ts) = TIMESTAMP '2024-01-09')"
 for _name, _word, _op in (("intersect", "INTERSECT", DataFrame.intersect), ("union", "UNION", lambda a, b: a.union(b).distinct()), ("difference", "EXCEPT", DataFrame.subtract)):
 
     @_register(f"tag_set_{_name}", f"{_SETS.format('purchase')} {_word} {_SETS.format('error')}")
     def _(spark, d, _op=_op):
-        of = lambda kind: _events(spark, d).where(F.col("event_type") == kind).select("user_id")
+        of = lambda kind: _events(spark, d).where(filters.same_period(EVENTS, "day", "2024-01-09") & (F.col("event_type") == kind)).select("user_id")
         return _op(of("purchase"), of("error"))
 
 
@@ -380,6 +484,15 @@ for _method, (_l, _t, _stats, _flag) in _METHODS.items():
     def _(spark, d, _method=_method, _l=_l, _t=_t):
         return detect.anomalies(_events(spark, d), EVENTS, "value", _method, _l, _t, ("user_id",)).select("event_id", "user_id", "value", "value_anomaly")
 
+    @_register(f"anomaly_{_method}_global", _PAST.replace("PARTITION BY user_id ", "").format(l=_l, stats=_stats, flag=_flag))
+    def _(spark, d, _method=_method, _l=_l, _t=_t):
+        return detect.anomalies(_events(spark, d), EVENTS, "value", _method, _l, _t, ranges=9).select("event_id", "user_id", "value", "value_anomaly")
+
+
+@_register("anomaly_request", _PAST.format(l=72, stats=_METHODS["zscore"][2], flag=_METHODS["zscore"][3]))
+def _(spark, d):
+    return requests.anomalies(_events(spark, d), EVENTS, "value", "zscore", 3.0, ("user_id",)).select("event_id", "user_id", "value", "value_anomaly")
+
 
 _FORECAST = """
 WITH s AS (
@@ -387,7 +500,7 @@ WITH s AS (
 ), a AS (
   SELECT user_id, min(t) AS t0, max(t) AS tn, count(*) AS n, max(x) AS xn, regr_slope(value, x) AS b, regr_intercept(value, x) AS c, avg(value) AS m, arg_max(value, i) AS last, arg_max(event_type, i) AS event_type FROM s GROUP BY 1
 ){more}
-SELECT a.user_id, event_type, make_timestamp(tn + k * CASE WHEN n > 1 THEN (tn - t0) // (n - 1) ELSE 3600000000 END) AS ts, round({value}, 4) AS value, 'true' AS _forecast
+SELECT a.user_id, event_type, make_timestamp(tn + k * CASE WHEN n > 1 THEN (tn - t0) // (n - 1) ELSE 3600000000 END) AS ts, round({value}, 6) AS value, 'true' AS _forecast
 FROM (SELECT *, unnest(range(1, 11)) AS k FROM a) a {join}
 """
 _MODELS = {
@@ -402,6 +515,11 @@ for _method, (_more, _value, _join) in _MODELS.items():
         return _rounded(forecast.forecast(_events(spark, d), EVENTS, "value", _method, partition_by=("user_id",)), "value")
 
 
+@_register("forecast_history", _FORECAST.format(more="", value=_MODELS["linear"][1], join="").replace("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events", "i FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 30").replace("CASE WHEN n > 1 THEN (tn - t0) // (n - 1) ELSE 3600000000 END", "3600000000"))
+def _(spark, d):
+    return _rounded(forecast.forecast(_events(spark, d), EVENTS, "value", "linear", interval="1h", history=30, partition_by=("user_id",)), "value")
+
+
 # Maintenance and streams
 
 
@@ -427,7 +545,45 @@ def _(spark, d):
     return store.read(spark, path).select("event_id", "ts", "value")
 
 
-_STREAM = f"SELECT {_EPOCH.format(w=24 * _H)} AS ts, event_type, round(avg(value), 4) AS value_avg FROM events GROUP BY ALL HAVING epoch_us(any_value(ts)) // {24 * _H} < (SELECT (max(epoch_us(ts)) - {_H}) // {24 * _H} FROM events)"
+@_register("update_points", "SELECT event_id, ts, CASE WHEN event_type = 'error' AND ts < '2024-01-04' THEN value * 2 ELSE value END AS value FROM events")
+def _(spark, d):
+    path = shared_path(spark, "update")
+    store.insert(_events(spark, d), path, EVENTS)
+    store.rewrite(spark, path, EVENTS, (F.col("event_type") == "error") & (F.col("ts") < "2024-01-04"), {"value": F.col("value") * 2})
+    return store.read(spark, path).select("event_id", "ts", "value")
+
+
+@_register("delete_points", "SELECT event_id, ts, value FROM events WHERE NOT (event_type = 'click' AND ts >= '2024-01-26')")
+def _(spark, d):
+    path = shared_path(spark, "delete")
+    store.insert(_events(spark, d), path, EVENTS)
+    store.rewrite(spark, path, EVENTS, (F.col("event_type") == "click") & (F.col("ts") >= "2024-01-26"))
+    return store.read(spark, path).select("event_id", "ts", "value")
+
+
+@_register("insert_documents", "SELECT ts, user_id::VARCHAR AS user_id, event_type, value, event_id FROM events WHERE event_id % 5 > 0")
+def _(spark, d):
+    path = shared_path(spark, "documents")
+    text = F.when(F.col("event_id") % 5 > 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise("no time")
+    docs = _events(spark, d).select(text.alias("timestamp"), F.struct(F.col("user_id").cast("string").alias("user_id"), "event_type").alias("tags"), "value", "event_id")
+    store.insert_documents(docs, path, EVENTS)
+    return store.read(spark, path).drop("dt")
+
+
+@_register("scan_ordered", "SELECT event_id, ts FROM events WHERE ts >= '2024-01-28' ORDER BY ts, event_id")
+def _(spark, d):
+    return store.ordered(store.scan(_events(spark, d), EVENTS, "2024-01-28"), EVENTS).select("event_id", "ts")
+
+
+@_register("stream_maintain", "SELECT event_id, ts, value FROM events WHERE ts >= '2024-01-11'")
+def _(spark, d):
+    stream = spark.readStream.schema(_events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    path = shared_path(spark, "tiers")
+    continuous.maintain(stream, EVENTS, f"{path}/hot", f"{path}/cold", f"{path}/checkpoint", 7, 20)
+    return store.read_tiers(spark, f"{path}/hot", f"{path}/cold").select("event_id", "ts", "value")
+
+
+_STREAM = f"SELECT {_EPOCH.format(w=24 * _H)} AS ts, event_type, round(avg(value), 6) AS value_avg FROM events GROUP BY ALL HAVING epoch_us(any_value(ts)) // {24 * _H} < (SELECT (max(epoch_us(ts)) - {_H}) // {24 * _H} FROM events)"
 
 
 @_register("stream_downsample", _STREAM)
@@ -440,7 +596,7 @@ def _(spark, d):
     return _rounded(spark.read.schema("event_type string, ts timestamp_ntz, value_avg double").parquet(f"{path}/out"), "value_avg")
 
 
-@_register("flagship", f"SELECT {_EPOCH.format(w=_H)} AS ts, round(avg(value), 4) AS value_avg, max(value) AS value_max FROM events WHERE event_type = 'purchase' AND ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY 1")
+@_register("flagship", f"SELECT {_EPOCH.format(w=_H)} AS ts, round(avg(value), 6) AS value_avg, max(value) AS value_max FROM events WHERE event_type = 'purchase' AND ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY 1")
 def flagship(spark, d):
     """Hourly mean and maximum of purchases in January 2024."""
     found = Find(where={"tags.event_type": "purchase", "timestamp": {"$gte": "2024-01-01", "$lt": "2024-02-01"}}).on(_events(spark, d), EVENTS)

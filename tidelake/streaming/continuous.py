@@ -1,13 +1,16 @@
-"""Policy downsampling as a stream."""
+"""Policy downsampling and upkeep of tiers as streams."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.accumulators import accumulate
 from ..functions.clock import moment
+from ..sources import store
 from ..spec import SeriesSpec, duration
 
 
@@ -29,3 +32,27 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def maintain(stream: DataFrame, spec: SeriesSpec, hot: str, cold: str, checkpoint: str, hot_days: int, keep_days: int) -> StreamingQuery:
+    """Appends what the source holds now to the hot tier, then moves and purges whole days; meant to run periodically.
+
+    Days are counted back from the latest day stored. A later run goes on from the checkpoint; a batch
+    that is repeated after a failure replaces its own rows.
+    """
+
+    def store_batch(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if store.days(spark, hot):
+            store.rewrite(spark, hot, spec, F.col("_batch") == number)
+        store.insert(batch.withColumn("_batch", F.lit(number).cast("long")), hot, spec)
+
+    query = stream.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    if found := store.days(spark, hot):  # only now, as a batch that is repeated looks for its rows in the hot tier
+        latest = dt.datetime.strptime(found[-1], "%Y%m%d")
+        day = lambda back: (latest - dt.timedelta(days=back)).strftime("%Y%m%d")
+        store.migrate(spark, hot, cold, day(hot_days - 1))
+        store.purge(spark, cold, day(keep_days - 1))
+    return query
