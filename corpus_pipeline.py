@@ -40,12 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their group that stays does: taken from the copies alone, lines would leave fragments that no
     longer resemble it.
     """
-    ship(spark)
-    with scratch.passing() as made:
-        groups = minhash.near_duplicates(docs, **NEAR).where("not kept")
-        copies = scratch.materialize(groups.select("doc_id", F.col("component_id").alias("copy_of")).distinct(), "copies")
-        made.remove(copies)
-    return _recount(editlines.dedup_lines(docs, copies=copies))
+    return _recount(editlines.dedup_lines(docs, copies=editlines.near_copies(docs, **NEAR)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
