@@ -43,17 +43,19 @@ def shard(docs: DataFrame, key: str = "doc_id", shards: int = 8, payload: tuple[
     """``key``, the ``payload`` columns, shard, slot (gapless from 0 in each shard) and grown_shard.
 
     The shard depends on the key and the number of shards only. ``grown_shard`` is the shard with
-    one more: either the same or the new one. Slots are given without bringing a shard together:
-    rows are numbered within (write partition, shard), and the partitions' counts, of which there
-    are partitions x shards, are summed up per shard.
+    one more: either the same or the new one. Slots follow the key's order. They are given without
+    bringing a shard together: rows are dealt in ranges of (shard, key) and numbered within (range,
+    shard), and the ranges' counts, of which there are ranges x shards, are summed up per shard.
 
     Defined cases: a null key is placed like key 0 and stays null; rows repeated under one key lie
-    in one shard under different slots; an empty table gives no rows.
+    in one shard under different slots, in no defined order; an empty table gives no rows.
     """
     placed = docs.select(key, *payload, shard_of(F.col(key), shards).alias("shard"), shard_of(F.col(key), shards + 1).alias("grown_shard"))
-    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "sharded")
-    numbered = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", "shard").orderBy("_at")))
-    counts = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
+    # numbered before they are dealt, so that rows of one key may lie in several ranges
+    dealt = placed.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange("shard", key, "_row").sortWithinPartitions("shard", key)
+    dealt = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "sharded")
+    numbered = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", "shard").orderBy("_at")))
+    counts = dealt.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     out = numbered.join(base, ["shard", "_part"])

@@ -17,6 +17,18 @@ from .scratch import fresh_path, materialize
 _SUPER = 1024
 
 
+def _checked(path: str, separator: int, dtype: str) -> None:
+    """Refuses ids that don't fit, and a separator that text may have."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    top = max(separator, *library.get_vocab(with_added_tokens=True).values())
+    if top > np.iinfo(dtype).max:
+        raise ValueError(f"id {top} does not fit {dtype}")
+    if library.id_to_token(separator) is not None and separator not in library.get_added_tokens_decoder():
+        raise ValueError(f"id {separator} is an ordinary token")
+
+
 def _writer(uri: str, path: str, separator: int, dtype: str):
     def write(batches):
         bpe = load(path, specials_are_text=True)
@@ -45,8 +57,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Returns (file, ordinal, doc_id, n_bytes), where the n_bytes of a file add up to its size. Each
     attempt of a task writes a file of its own and only files named in the committed table count,
     so retries leave nothing wrong behind. Special tokens spelled in a text are ordinary text, so a
-    separator stands nowhere else. Null texts are empty documents.
+    separator stands nowhere else; an id that is an ordinary token is refused, as are ids that ``dtype``
+    can't hold. Null texts are empty documents.
     """
+    _checked(tokenizer, separator, dtype)
     uri = fresh_path(docs.sparkSession, "tokens")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = docs.mapInArrow(_writer(uri, tokenizer, separator, dtype), "file string, ordinal long, doc_id long, n_bytes long")
