@@ -40,17 +40,18 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES, plain: bool = False) -> DataFrame:
     """(node, component) of every node that has an edge to another; ``edges`` are columns (a, b) of longs.
 
     Partitions contract their edges to forests by union-find first. While the forest is larger than
     one task should hold, rounds of large-star and small-star shrink it: a node's neighbours are
     linked with its smallest neighbour by an aggregate and a join, so a node with very many
-    neighbours is never collected. Null ends and loops are no edges.
+    neighbours is never collected. ``plain`` does with the rounds alone, which are DataFrame
+    functions. Null ends and loops are no edges.
     """
-    edges = edges.where("a <> b").mapInArrow(_forest, "a long, b long")
-    edges = materialize(edges, "forest")
-    if edges.count() <= local_edges:
+    edges = edges.where("a <> b").select("a", "b")
+    edges = materialize(edges.distinct() if plain else edges.mapInArrow(_forest, "a long, b long"), "forest")
+    if not plain and edges.count() <= local_edges:
         done = edges.repartition(1).mapInArrow(_forest, "a long, b long")
         return materialize(done.select(F.col("b").alias("node"), F.col("a").alias("component")), "components")
     seen = None

@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import components
 from .linefreq import plain_line, squeezed
-from .scratch import materialize, passing
+from .linefreq import words as text_words
+from .scratch import materialize, passing, small
 
-#: Rows of ids and places that may be sent to every executor as a hash table.
-BROADCAST_ROWS = 200_000
 #: Parts of the keys that are brought together one after the other.
 PASSES = 2
 #: Letters whose numbers bound edits, 16 in a long.
@@ -181,8 +181,8 @@ def _links(line: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
     """(a, b): numbers of different lines within ``tau`` edits, each pair once."""
     members = _members(distinct, tau)
     ids = materialize(members.select("id").distinct(), "line-ids")
-    named = distinct.select("id", "h", "g").join(_small(ids), "id", "left_semi")
-    texts = materialize(line.select("h", "g", "line").join(_small(materialize(named, "line-names")), ["h", "g"]).groupBy("id").agg(F.any_value("line").alias("line")), "line-texts")
+    named = distinct.select("id", "h", "g").join(small(ids), "id", "left_semi")
+    texts = materialize(line.select("h", "g", "line").join(small(materialize(named, "line-names")), ["h", "g"]).groupBy("id").agg(F.any_value("line").alias("line")), "line-texts")
     traits = materialize(texts.select("id", _word_parities(F.col("line")).alias("w"), *[_letter_codes(F.col("line"), x).alias(n) for n, x in zip("xy", LETTERS, strict=True)]), "line-traits")
     side = lambda x, rows: rows.join(traits, "id").select("key", F.col("id").alias(x), *[F.col(c).alias(c + x) for c in "wxy"])
     alike = f"a <> b and bit_count(wa ^ wb) <= {3 * tau} and bit_count(xa ^ xb) + bit_count(ya ^ yb) <= {2 * tau}"
@@ -193,11 +193,6 @@ def _links(line: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
     return materialize(both.where(within_distance(F.col("ca"), F.col("cb"), tau)).select("a", "b"), "line-links")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A materialized table, to be sent to every executor only if its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 16, within_document: bool = False, copies: DataFrame | None = None) -> DataFrame:
     """(doc_id, mark, pos, near) of every line that repeats an earlier one.
 
@@ -232,7 +227,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
         seen = each.join(first.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         later = first.join(seen.withColumnRenamed("a", "id"), "id", "left").where("n > 1 or other is not null")
         later = materialize(later.select("h", "g", "first", "other", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near")), "line-verdicts")
-        at = line.select("h", "g", "doc_id", "mark", "pos", "copy_of").join(_small(later), ["h", "g"])
+        at = line.select("h", "g", "doc_id", "mark", "pos", "copy_of").join(small(later, 200_000), ["h", "g"])
         gone = "copy_of is null and (near or not (struct(doc_id, mark, pos) <=> first))"
         if copies is not None:
             own = at.where("copy_of is not null").withColumn("own", F.min("pos").over(Window.partitionBy("doc_id", "mark", "h", "g")))
@@ -243,6 +238,40 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     return out
 
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, held: int = 12) -> DataFrame:
+    """(doc_id, copy_of) of documents that a later near-dedup step will find to be copies of ``copy_of``.
+
+    By DataFrame functions only, as the rest of this module. A document's keys are the ``held``
+    smallest hashes of its ``words``-word shingles: two documents of similarity s share none with
+    probability (1 - s)^held, 4e-9 at 0.8. A key's documents are compared with the smallest of them
+    only, shingle by shingle, so a group of n copies makes n pairs for a key; links are followed to the smallest
+    document reached. What this misses is a link that runs through no such first document.
+    """
+    text = F.col(text_col).cast("string")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null and text is not null")
+    read = read.select("doc_id", F.xxhash64("text").alias("m"), F.xxhash64(F.lit("g"), "text").alias("g"), text_words(F.lower("text")).alias("w"))
+    gram = lambda w, x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, words)])
+    every = lambda w: F.when(F.size(w) < words, F.filter(F.array(F.xxhash64(F.array_join(w, " "))), lambda _: F.size(w) > 0)).otherwise(F.transform(F.slice(w, 1, F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda x, i: gram(w, x, i)))
+    shingled = read.select("doc_id", "m", "g", _with(F.col("w"), every).alias("s"))
+    with passing() as made:
+        keyed = materialize(shingled.select("doc_id", "m", "g", F.slice(F.sort_array(F.array_distinct("s")), 1, held).alias("keys")), "sketches")
+        same = keyed.groupBy("m", "g").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("m", "g", "a")
+        known = keyed.join(small(materialize(same, "equal-texts")), ["m", "g"], "left")
+        links = materialize(known.where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "copy-links")
+        key = known.where("a is null or doc_id = a").select("doc_id", F.explode("keys").alias("key"))
+        first = key.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", "a")
+        pairs = materialize(key.join(first, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "copy-pairs")
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "copy-ids")
+        sets = materialize(shingled.join(small(ids), "doc_id", "left_semi").select("doc_id", F.array_distinct("s").alias("s")), "copy-sets")
+        side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+        links = links.union(materialize(both.where(100 * common >= percent * (total - common)).select("a", "b"), "near-links"))
+        out = materialize(components(links, plain=True).where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("copy_of")).distinct(), "copies")
+        made.remove(out)
+    return out
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all their columns, without the lines that ``removals`` names.
 
@@ -251,7 +280,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shorter lines always stay.
     """
     gone = removals(docs, id_col, text_col, **options).groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    gone = small(materialize(gone.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), "lines-to-go"))
     text = F.col(text_col).cast("string")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("_text"))
     out = packed.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_mark")), "left")
@@ -264,7 +293,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: id, n_lines, n_removed and n_near_removed of ``removals``."""
     gone = removals(docs, id_col, text_col, **options).groupBy("doc_id", "mark").agg(F.count("*").alias("n_removed"), F.count_if("near").alias("n_near_removed"))
-    gone = gone.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    gone = small(materialize(gone.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), "line-counts"))
     text = F.col(text_col).cast("string")
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("mark"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"))
     out = read.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")

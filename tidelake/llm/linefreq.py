@@ -8,10 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, passing
-
-#: Frequent lines that may be sent to every executor as a hash table.
-BROADCAST_ROWS = 500_000
+from .scratch import materialize, passing, small
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -103,16 +100,15 @@ def removed_lines(docs: DataFrame, min_docs: int = 5, percent: int = 10, enough:
     to less than a small one. Counts are combined before each shuffle, and the joined side has one
     row for each frequent line, however many documents hold it.
     """
-    every = F.posexplode_outer(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.xxhash64(squeezed(plain_line(x))).alias("hash"), F.size(words(x)).alias("n")))).alias("pos", "line")
+    normal = F.transform(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), plain_line), squeezed)
+    every = F.posexplode_outer(F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("hash"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("n")))).alias("pos", "line")
     line = docs.select("doc_id", "mark", "host", every).where("line.n > 0").select("doc_id", "mark", "host", F.col("line.hash").alias("line_hash"), F.col("line.n").cast("long").alias("n"))
     with passing() as made:
         line = materialize(line.groupBy("host", "line_hash", "mark", "doc_id").agg(F.sum("n").alias("n")), "host-lines")
         texts = docs.select("host", "mark").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
         count = line.select("host", "line_hash", "mark").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
         hot = count.join(texts, "host").where((100 * F.col("n_docs") > percent * F.col("host_docs")) | (F.col("n_docs") > enough)).select("host", "line_hash")
-        hot = materialize(hot, "hot-lines")
-        few = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-        out = materialize(line.join(few, ["host", "line_hash"], "left_semi").select("doc_id", "mark", "line_hash", "n"), "removed-lines")
+        out = materialize(line.join(small(materialize(hot, "hot-lines")), ["host", "line_hash"], "left_semi").select("doc_id", "mark", "line_hash", "n"), "removed-lines")
         made.remove(out)
     return out
 
@@ -138,7 +134,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     docs = keyed(docs, id_col, text_col, host_col)
     lost = removed_lines(docs, **limits) if lost is None else lost
-    lost = lost.groupBy("doc_id", "mark").agg(F.sum("n").alias("n_removed_words"))
+    lost = small(materialize(lost.groupBy("doc_id", "mark").agg(F.sum("n").alias("n_removed_words")), "lost-words"))
     out = _join_marked(base_stats(docs).drop("text", "host"), lost)
     n, removed = F.col("n_words"), F.coalesce("n_removed_words", F.lit(0))
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat * n)
@@ -155,11 +151,11 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0).cast("long")).alias("mark"))
     gone = removed_lines(read, **limits)
     # a table in between, as a filter pushed below the statistics would repeat their expressions
-    verdicts = materialize(judge(docs, id_col, text_col, host_col, lost=gone, **(judging or {})), "verdicts")
-    kept = verdicts.where("kept").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
-    packed = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
+    verdicts = judge(docs, id_col, text_col, host_col, lost=gone, **(judging or {})).where("not kept").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
+    rejected = small(materialize(verdicts, "rejected"))
+    packed = packed.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_anti")
     lost = gone.groupBy("doc_id", "mark").agg(F.collect_set("line_hash").alias("_lost"))
-    out = _join_marked(packed, lost)
+    out = _join_marked(packed, small(materialize(lost, "lost-lines")))
     text = F.col(f"_row.`{text_col}`")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_lost", F.xxhash64(normal_line(x)))), "\n")
     new = F.when(F.col("_lost").isNull(), text).otherwise(left)

@@ -12,15 +12,13 @@ from pyspark.sql import functions as F
 
 from .bytescan import LOWER, WHITESPACE, gram_hash, mix, slices, word_hashes
 from .components import components
-from .scratch import discard, materialize, passing
+from .scratch import discard, materialize, passing, small
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 _LOW32 = _U(0xFFFFFFFF)
 #: Elements whose permutations are held at once (one byte per element and position).
 _HELD = 1 << 16
-#: Documents that may be sent to every executor as a hash table of ids.
-BROADCAST_IDS = 500_000
 
 
 def superminhash(elements: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
@@ -140,7 +138,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     """Those (a, b) of ``pairs`` whose whole sets are similar enough."""
     pairs = materialize(pairs.distinct(), "pairs")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates()
+    texts = docs.join(small(ids), "id", "left_semi").dropDuplicates()
     texts = materialize(texts, "pair-texts")
     side = lambda name: texts.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
@@ -178,9 +176,9 @@ def _across(docs: DataFrame, shared: DataFrame, groups: DataFrame, words: int, p
     member = materialize(member.join(mixed, "key"), "mixed-buckets")
     crowd = components(member.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()).select(F.col("node").alias("id"), F.col("component").alias("g"))
     ids = materialize(member.select("id", "c").distinct().join(crowd, "id"), "mixed-ids")
-    if (n := ids.count()) == 0:
+    if ids.isEmpty():
         return None
-    texts = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id").select("id", "text")
+    texts = docs.join(small(ids), "id").select("id", "text")
     held = texts.mapInArrow(_shingler(words), "id long, shingle long").distinct().join(ids.select("id", "g"), "id")
     held = materialize(held, "mixed-shingles")
     docs_of = ids.groupBy("g").agg(F.count("*").alias("docs"))
@@ -227,8 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = signed.where("n_shingles > 0 and id is not null")
         first = full.groupBy("mark").agg(F.min(F.struct("id", "words")).alias("first"), F.count("*").alias("n"))
         first = materialize(first.where("n > 1").selectExpr("mark", "first.id as a", "first.words as as_a"), "equal-sets")
-        few = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
-        known = full.join(few, "mark", "left")
+        known = full.join(small(first), "mark", "left")
         same = known.where("id <> a")
         links = materialize(same.where("words = as_a").select("a", F.col("id").alias("b")), "equal-words")
         links = links.union(_linked(docs, same.where("words <> as_a").select("a", F.col("id").alias("b")), words, percent))
@@ -257,8 +254,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows equal in id and text leave one row; rows of different text under one kept id all stay, as
     do rows without an id.
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_id")).distinct()
-    text = F.col(text_col).cast("string")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("_text"))
-    out = packed.join(kept, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_doc", "_text"])
-    return out.select("_row.*")
+    found = near_duplicates(docs, id_col, text_col, **options)
+    dropped = small(materialize(found.where("not kept").select(F.col(id_col).alias("_id")).distinct(), "dropped"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0).cast("long")).alias("_text"))
+    again = packed.groupBy("_doc", "_text").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"))
+    again = materialize(again, "repeated-rows")
+    left = packed.join(dropped, F.col("_doc") == F.col("_id"), "left_anti")
+    if again.isEmpty():
+        return left.select("_row.*")
+    # only rows that are repeated are brought together
+    repeated = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t"))
+    once = left.join(small(again), repeated, "left_semi").dropDuplicates(["_doc", "_text"])
+    return left.join(small(again), repeated, "left_anti").union(once).select("_row.*")

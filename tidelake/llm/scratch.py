@@ -12,7 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 #: Spark then deletes an execution's shuffle files when it ends, instead of at some later garbage collection.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -54,6 +54,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Rows of ids and hashes that may be sent to every executor as a hash table, some 30 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialized table, marked to be sent to every executor if it has few rows; beyond, it is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 _OPEN: list[list[DataFrame]] = []
 
 

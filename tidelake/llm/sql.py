@@ -152,5 +152,66 @@ SELECT page_id, host, path, rule, score, coalesce(fixed, CASE WHEN score > 0 THE
 """
 
 
+#: Strings of 50 bytes as 100 hex digits, read from blocks so that places in long texts need no long scans.
+OP7 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), b AS (
+  SELECT doc_id, n, base, substr(h, 2 * base + 1, 1122) AS block FROM (SELECT *, unnest(range(0, n, 512)) AS base FROM d WHERE n >= 50)
+), s AS (
+  SELECT doc_id, base + i AS p, substr(block, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(512, n - 49 - base))) AS i FROM b)
+), o AS (
+  SELECT s, min(doc_id) AS low FROM s GROUP BY s
+), hit AS (
+  SELECT s.doc_id, p, p - lag(p) OVER (PARTITION BY s.doc_id ORDER BY p) AS step FROM s JOIN o USING (s) WHERE low < s.doc_id
+), run AS (
+  SELECT doc_id, p, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit
+), span AS (
+  SELECT doc_id, min(p) AS lo, max(p) + 50 AS hi FROM run GROUP BY doc_id, run
+), piece AS (
+  SELECT doc_id, lo, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS start FROM span
+  UNION ALL SELECT doc_id, n, coalesce(max(hi), 0) FROM d LEFT JOIN span USING (doc_id) GROUP BY doc_id, n
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (lo - start)), '' ORDER BY lo, start) AS h FROM piece JOIN d USING (doc_id) GROUP BY doc_id
+), c AS (
+  SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM span GROUP BY doc_id
+)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def op10() -> str:
+    """Jump hashing with whole numbers of 128 bits, and CRC32 over half bytes, the lower one first."""
+    low = 1 << 64
+    times = lambda x, factor, add=0: f"((({x})::UHUGEINT * {factor}::UHUGEINT + {add}::UHUGEINT) % {low}::UHUGEINT)::UBIGINT"
+    crc = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        crc.append(x)
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT DISTINCT doc_id, {times("(coalesce(doc_id, 0)::HUGEINT + " + str(low) + ")", 1, 0x9E3779B97F4A7C15)} AS x FROM documents
+), k1 AS (
+  SELECT doc_id, {times("xor(x, x >> 30)", 0xBF58476D1CE4E5B9)} AS x FROM k
+), k2 AS (
+  SELECT doc_id, {times("xor(x, x >> 27)", 0x94D049BB133111EB)} AS x FROM k1
+), j(doc_id, n, state, here, ahead) AS (
+  SELECT doc_id, n, xor(x, x >> 31), 0::BIGINT, 0::BIGINT FROM k2, (VALUES (8), (9)) v(n)
+  UNION ALL
+  SELECT doc_id, n, state, ahead, floor((ahead + 1) * (2147483648.0::DOUBLE / ((state >> 33)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT doc_id, n, ahead, {times("state", 2862933555777941757, 1)} AS state FROM j WHERE ahead < n)
+), p AS (
+  SELECT doc_id, max(here) FILTER (n = 8)::INT AS shard, max(here) FILTER (n = 9)::INT AS grown_shard FROM j GROUP BY doc_id
+), d AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\\2\\1', 'g'), '') AS half FROM documents
+), c AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [(strpos('0123456789ABCDEF', x) - 1)::BIGINT FOR x IN half IF x <> '']), lambda s, x: xor(s >> 4, {crc}[(xor(s, x) & 15) + 1]))) AS text_crc32 FROM d
+)
+SELECT c.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY c.doc_id) - 1 AS slot, grown_shard FROM c JOIN p USING (doc_id)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_minhash": OP1, "op2_line_frequency": OP2, "op3_winnow": OP3, "op5_url_filter": op5(), "op8_line_dedup": OP8}
+    return {"op1_minhash": OP1, "op2_line_frequency": OP2, "op3_winnow": OP3, "op5_url_filter": op5(), "op7_suffix_dedup": OP7, "op8_line_dedup": OP8, "op10_jump_shards": op10()}

@@ -11,14 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import BYTE_CODE, GRAM_BASE, mix, slices
-from .scratch import materialize, passing
+from .scratch import materialize, passing, small
 
 _U = np.uint64
 _SEP = 0
 #: Bytes indexed at once, and pieces that one anchor may bring to one index.
 _INDEX_BYTES, _CROWD = 1 << 19, 20_000
-#: Documents that may be sent to every executor as a hash table of ids.
-BROADCAST_IDS = 500_000
 #: Text whose pieces are compared with each other before they are sent on.
 _UNIT_BYTES = 1 << 23
 #: Bytes hashed at once, and cut from a longer text; places within them take _PIECE_BITS.
@@ -408,9 +406,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if heads.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").isEmpty():
             source, heads = (df.withColumn("mark", F.lit(0).cast("long")) for df in (source, heads))  # ids tell texts apart
         first = heads.groupBy("md5").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-        copies = materialize(heads.join(first, "md5").where("doc_id > first").select("doc_id", "mark", "size").distinct(), "copies")
-        few = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-        lean = source.where(eligible).join(few, ["doc_id", "mark"], "left_anti").select("doc_id", "text", "mark")
+        copies = materialize(heads.join(small(materialize(first, "repeated-texts")), "md5").where("doc_id > first").select("doc_id", "mark", "size").distinct(), "copies")
+        lean = source.where(eligible).join(small(copies), ["doc_id", "mark"], "left_anti").select("doc_id", "text", "mark")
         spans = _spans(lean, length, gram, crowd).union(copies.select("doc_id", "mark", F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi")))
         spans = materialize(spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
         made.remove(spans)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import LOWER, NON_ALNUM, gram_hash, gram_owner, slices, word_hashes
+from .scratch import materialize, small
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Benchmark text that one index may hold; larger benchmarks are searched for in several blocks.
@@ -223,5 +224,6 @@ def digest(hits: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all their columns, in which ``contamination`` finds no window."""
     hit = contamination(docs, benchmark, id_col, text_col, **options).where(F.size("lo") > 0).select(F.col("doc_id").alias("_id"), F.col("row_mark").alias("_mark")).distinct()
+    hit = small(materialize(hit, "contaminated"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.xxhash64(F.col(text_col).cast("string")).alias("_text"))
     return packed.join(hit, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_mark")), "left_anti").select("_row.*")
