@@ -98,6 +98,13 @@ def test_find_sorts_and_cuts(spark):
     assert Find(skip=100).on(frame(spark, BASE), SPEC).count() == 0
 
 
+def test_a_cursor_gives_batches(spark):
+    df = frame(spark, [(i, i) for i in range(25)])
+    got = list(Find(where={"v": {"$gte": 3}}, sort={"v": 1}).batches(df, SPEC, 10))
+    assert [len(x) for x in got] == [10, 10, 2] and [r.v for x in got for r in x] == list(range(3, 25))
+    assert list(Find(where={"v": {"$gt": 99}}).batches(df, SPEC)) == []
+
+
 def test_dedup_keeps_the_first_by_order(spark):
     out = series.dedup_by_time(frame(spark, [(0, 1), (0, 2), (5, 3)]), SPEC)
     assert pairs(out, "v") == [(0, 1), (5, 3)]

@@ -98,6 +98,12 @@ def ema(df: DataFrame, spec: SeriesSpec, field: str, alpha: float = 0.2, partiti
     return joined.withColumn(f"{field}_ema", value).drop("_r", "_e", "_i", "_v", "_seed")
 
 
+def ema_level(df: DataFrame, spec: SeriesSpec, field: str, alpha: float = 0.2, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """The exponential average as an aggregate: its last value in each group."""
+    smooth = ema(df.select(*dict.fromkeys((*partition_by, *spec.tags, *spec.order, field))), spec, field, alpha, partition_by)
+    return smooth.groupBy(*partition_by).agg(F.max_by(f"{field}_ema", F.struct(*spec.order)).alias(f"{field}_ema"))
+
+
 def percentile_windows(df: DataFrame, spec: SeriesSpec, field: str, p: float, width: str | int = 0, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Nearest-rank percentile in windows from the first row on; without a width, of the whole series."""
     timed = _since_first(df, spec, partition_by)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.accumulators import accumulate
@@ -89,3 +91,9 @@ class Find:
         if self.skip:
             out = out.offset(self.skip)
         return out if self.limit is None else out.limit(self.limit)
+
+    def batches(self, df: DataFrame, spec: SeriesSpec, size: int = 101) -> Iterator[list[Row]]:
+        """The rows in lists of ``size``, as a cursor gives them; the driver holds one partition at a time."""
+        rows = self.on(df, spec).toLocalIterator()
+        while batch := list(islice(rows, size)):
+            yield batch

@@ -95,6 +95,19 @@ def _(spark, d):
     return docs.select("timestamp", key.alias("tag_key"), "value")
 
 
+@_register("tag_key", "SELECT event_id, 'event_type=' || event_type || ',user_id=' || user_id AS tag_key FROM events")
+def _(spark, d):
+    return _events(spark, d).select("event_id", store.tag_key(EVENTS).alias("tag_key"))
+
+
+@_register("scan_json", "SELECT event_id, event_type, user_id::VARCHAR AS user_id, value FROM events")
+def _(spark, d):
+    spec = SeriesSpec("ts", ("user_id", "event_type"), ("value", "event_id"), ("event_id",))
+    line = lambda kind, path: F.get_json_object("value", path).cast(kind)
+    dumped = store.dump(_events(spark, d), spec)
+    return dumped.select(line("long", "$.event_id").alias("event_id"), line("string", "$.tags.event_type").alias("event_type"), line("string", "$.tags.user_id").alias("user_id"), line("double", "$.value").alias("value"))
+
+
 @_register("scan_daily_partitions", "SELECT strftime(ts, '%Y%m%d') AS dt, count(*) AS n, min(value) AS low, max(value) AS high, min(epoch_us(ts)) AS first_us FROM events WHERE ts BETWEEN '2024-01-03' AND '2024-01-20' GROUP BY 1")
 def _(spark, d):
     path = shared_path(spark, "daily")
@@ -232,6 +245,11 @@ def _(spark, d):
     return aggregate(_events(spark, d), EVENTS, [{"$group": {"_id": {"u": "$tags.user_id", "kind": "$tags.event_type"}}}])
 
 
+@_register("agg_degenerate", "SELECT event_id, value FROM events WHERE value > 100")
+def _(spark, d):
+    return aggregate(_events(spark, d), EVENTS, [{"$match": {"value": {"$gt": 100}}}, {"$group": {"_id": None}}]).select("event_id", "value")
+
+
 @_register("find_skip_limit", "SELECT event_id, value FROM events WHERE event_type = 'view' ORDER BY value DESC, event_id LIMIT 15 OFFSET 5")
 def _(spark, d):
     return Find(where={"tags.event_type": "view"}, sort={"value": -1, "event_id": 1}, skip=5, limit=15).on(_events(spark, d), EVENTS).select("event_id", "value")
@@ -429,6 +447,11 @@ def _(spark, d):
     return _rounded(series.ema(_events(spark, d), EVENTS, "value", 7.0), "value_ema").select("event_id", "value_ema")
 
 
+@_register("ema_aggregate", _EMA + " SELECT user_id, round(arg_max(v, i), 6) AS value_ema FROM e GROUP BY 1")
+def _(spark, d):
+    return _rounded(series.ema_level(_events(spark, d), EVENTS, "value", 0.2, ("user_id",)), "value_ema")
+
+
 @_register("percentile_window", f"SELECT {_FIRST.format(w=24 * _H)} AS ts, quantile_disc(value, 0.9) AS value_p90 FROM {_E0} GROUP BY 1")
 def _(spark, d):
     return series.percentile_windows(_events(spark, d), EVENTS, "value", 90, "1d")

@@ -39,6 +39,11 @@ def documents(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df.select(F.col(spec.time).alias("timestamp"), F.when(F.size(tags) > 0, tags).alias("tags"), *spec.fields)
 
 
+def dump(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Every point as a line of JSON; fields and tags that it lacks are left out."""
+    return documents(df, spec).select(F.to_json(F.struct("timestamp", "tags", *spec.fields)).alias("value"))
+
+
 def tag_key(spec: SeriesSpec) -> Column:
     """A stable text of all tags: name=value, sorted by name."""
     pairs = [F.concat(F.lit(f"{t}="), F.col(t).cast("string")) for t in sorted(spec.tags)]
