@@ -139,10 +139,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     n, removed = F.col("n_words"), F.coalesce("n_removed_words", F.lit(0))
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat * n)
     depleted = (n - removed < min_words) | (100 * (n - removed) < min_left * n)
-    return out.select(
+    out = out.select(
         F.col("doc_id").alias(id_col), "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.cast("long").alias("n_removed_words"),
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
     )
+    # a table, as a filter on the verdicts would be pushed below the statistics and repeat their expressions
+    return materialize(out, "verdicts")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", judging: dict[str, int] | None = None, **limits: int) -> DataFrame:
@@ -150,7 +152,6 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     read = keyed(docs, id_col, text_col, host_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0).cast("long")).alias("mark"))
     gone = removed_lines(read, **limits)
-    # a table in between, as a filter pushed below the statistics would repeat their expressions
     verdicts = judge(docs, id_col, text_col, host_col, lost=gone, **(judging or {})).where("not kept").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
     rejected = small(materialize(verdicts, "rejected"))
     packed = packed.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_anti")
