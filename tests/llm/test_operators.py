@@ -347,6 +347,13 @@ def test_fast_ids_are_those_of_the_library(rows):
     assert got == [ids_of(t) for t in texts]
 
 
+def test_long_texts_have_the_same_ids_in_stretches(rows):
+    text = next(t for i, t in rows if i == 32) + " it's we'll  a1 b2 é ñ  x\n" * 50 + "y" * 300 + " end of it"
+    for limit in (64, 500):
+        ((_, _, ids, at),) = bpe.load(PATH).encode_column(pa.array([text]), limit)
+        assert ids.tolist() == ids_of(text) and at.tolist() == [0, len(ids)]
+
+
 def test_packing_is_an_exact_round_trip(docs, rows, nothing):
     size = 256
     out = packing.pack(docs, PATH, size=size, keep_ids=True).collect()

@@ -19,6 +19,8 @@ from .bytescan import prefix_hash, range_hash, slices
 
 _NONE = np.int32(0x7FFFFFFF)
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 #: Pre-tokens beyond this many bytes would take as many rounds; their documents go to the library.
 _LONG = 200
 #: Pre-tokens that a worker remembers (24 bytes each), and their ids (4 bytes each).
@@ -225,10 +227,29 @@ class Bpe:
             ids = np.concatenate(parts)
         return ids, np.concatenate(([0], np.cumsum(per_doc)))
 
-    def encode_column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first row, row after the last, ids, offsets) of consecutive slices of a text column."""
-        for lo, hi, data, offsets in slices(texts, 1 << 18):
-            yield lo, hi, *self.encode_slice(data, offsets)
+    def _parts(self, data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+        """Stretches of about ``limit`` bytes, cut only before a space between ASCII letters or digits, where a pre-token begins."""
+        lo = 0
+        while lo < len(data):
+            hi = lo + limit
+            while hi < len(data):
+                near = data[hi - 1 : hi + 4097]
+                found = np.flatnonzero((near[1:-1] == 0x20) & _PLAIN[near[:-2]] & _PLAIN[near[2:]]) if len(near) > 2 else []
+                if len(found):
+                    hi += int(found[0])
+                    break
+                hi += 4096
+            yield data[lo:hi]
+            lo = hi
+
+    def encode_column(self, texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, ids, offsets) of consecutive slices of a text column; long texts go in stretches."""
+        for lo, hi, data, offsets in slices(texts, limit):
+            if self.fast and hi - lo == 1 and len(data) > 4 * limit and not any(x in data.tobytes() for x in self.specials):
+                ids = np.concatenate([self.encode_slice(part, np.array([0, len(part)]))[0] for part in self._parts(data, limit)])
+                yield lo, hi, ids, np.array([0, len(ids)])
+            else:
+                yield lo, hi, *self.encode_slice(data, offsets)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:

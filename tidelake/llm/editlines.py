@@ -154,7 +154,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, within_d
     """
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    docs = docs.withColumn("copy_of", F.lit(None).cast("long")) if copies is None else docs.join(copies.select("doc_id", "copy_of"), "doc_id", "left")
+    docs = docs.withColumn("copy_of", F.lit(None).cast("long")) if copies is None else docs.join(small(copies).select("doc_id", "copy_of"), "doc_id", "left")
     # normalised inside the array, as the filters on length and on empty arrays would else repeat the expression
     every = F.posexplode_outer(F.transform(F.transform(F.split("text", "\n"), plain_line), squeezed)).alias("pos", "line")
     line = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("mark"), "copy_of", every).where(F.length("line") >= min_chars)
@@ -202,7 +202,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     earlier than the line itself did. Lines are judged on the input, not on what is left.
     ``within_document`` compares only lines of one document.
 
-    ``copies`` (doc_id, copy_of; one row for each id) names documents that a later step drops as
+    ``copies`` (a table of doc_id, copy_of; one row for each id) names documents that a later step drops as
     near copies of document ``copy_of``. Lines are then judged on the other documents alone. A copy
     loses the lines that another group's document keeps or its original loses, and its own repeats,
     but no line for standing in its original: it stays a copy that the later step recognises, and no
