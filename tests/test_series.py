@@ -105,6 +105,13 @@ def test_a_cursor_gives_batches(spark):
     assert list(Find(where={"v": {"$gt": 99}}).batches(df, SPEC)) == []
 
 
+def test_ordered_scans_and_merged_runs_come_in_order(spark):
+    df = frame(spark, [(i * 37 % 101 // 3, i) for i in range(100)]).repartition(5)
+    assert [(r.t, r.id) for r in store.ordered(df, SPEC).collect()] == sorted((r.t, r.id) for r in df.collect())
+    runs = [df.where("id % 2 = 0"), df.where("id % 2 = 1")]
+    assert [(r.t, r.id) for r in series.merge_runs(runs, SPEC).collect()] == sorted((r.t, r.id) for r in df.collect())
+
+
 def test_dedup_keeps_the_first_by_order(spark):
     out = series.dedup_by_time(frame(spark, [(0, 1), (0, 2), (5, 3)]), SPEC)
     assert pairs(out, "v") == [(0, 1), (5, 3)]
