@@ -150,6 +150,44 @@ def test_timestamps_in_text(spark):
     assert micros.where(F.unix_micros(parse_time(F.concat(F.col("m").cast("string"), F.lit("000"))).cast("timestamp")) != F.col("m")).isEmpty()
 
 
+def test_rare_times_are_read_as_the_layouts_read_them(spark):
+    day = lambda *at: dt.datetime(*at)
+    texts = {
+        "2024-01-02t03:04:05": day(2024, 1, 2, 3, 4, 5),
+        "2024/01/02 03:04:05.1234567890123456789012345": day(2024, 1, 2, 3, 4, 5, 123456),
+        "12/13/2024 03:04:05": day(2024, 12, 13, 3, 4, 5),
+        "13/12/2024 03:04:05": day(2024, 12, 13, 3, 4, 5),
+        "29/02/2023 03:04:05": None,
+        "00/12/2024 03:04:05": None,
+        "13/13/2024 03:04:05": None,
+        "2024-02-30 03:04:05": None,
+        "2024-01-02 24:00:00": None,
+        "2024-01-02 03:04:05Z": None,
+        "2024-01-02T03:04:05Z\n": day(2024, 1, 2, 3, 4, 5),
+        "2024-01-02 03:04:05\n": None,
+        "+2024-01-02 03:04:05": None,
+        " 2024-01-02 03:04:05": None,
+        "12024-01-02 03:04:05": None,
+        "03:04:05": None,
+        "\t-1001 ": dt.datetime(1969, 12, 31, 23, 59, 59, 999998),
+        "1.5": None,
+        "99999999999999999999": None,
+    }
+    df = spark.createDataFrame([(x,) for x in [*texts, None]], "s string").select(parse_time(F.col("s")).alias("t"))
+    assert [r.t for r in df.collect()] == [*texts.values(), None]
+    rare = spark.createDataFrame([("+12024-01-02 03:04:05.5",), ("01/02/+12024 03:04:05.5",)], "s string").select(parse_time(F.col("s")).cast("string").alias("t"))
+    assert [r.t for r in rare.collect()] == ["+12024-01-02 03:04:05.5"] * 2
+
+
+def test_parsed_text_is_made_once_a_row_and_failing_casts_are_not_tried(spark):
+    df = spark.range(1).select(F.timestamp_micros("id").alias("ts"))
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    plan = df.select(parse_time(text).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format(") == 1
+    before = [plan.split(x)[0] for x in (" as bigint)", "gettimestamp(", "try_cast(")]
+    assert all(x != plan and "RLIKE(" in x for x in before)
+
+
 def test_store_round_trip_and_clear(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     store.insert(frame(spark, BASE), path, SPEC)
